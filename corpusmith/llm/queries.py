@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from corpusmith.llm import licenses
 from corpusmith.llm.bpe import op5_bpe
+from corpusmith.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_byte_level_bpe": op5_bpe,
+    "op6_license_scans": licenses.op6_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_scans": licenses.SQL,
+}
