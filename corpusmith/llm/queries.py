@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from corpusmith.llm import licenses
 from corpusmith.llm.bpe import op5_bpe
+from corpusmith.llm.html import op4_html
 from corpusmith.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_html_extraction": op4_html,
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
 }
