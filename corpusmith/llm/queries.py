@@ -5,6 +5,7 @@ from __future__ import annotations
 from corpusmith.llm import licenses
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
+from corpusmith.llm.minhash import op8_minhash
 from corpusmith.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_html_extraction": op4_html,
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
+    "op8_minhash_near_dedup": op8_minhash,
 }
 
 ORACLES: dict[str, str] = {
