@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmith.llm import licenses
+from corpusmith.llm import licenses, lines
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
 from corpusmith.llm.minhash import op8_minhash
@@ -10,6 +10,7 @@ from corpusmith.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_line_dedup": lines.op2_lines,
     "op4_html_extraction": op4_html,
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": lines.SQL,
     "op6_license_scans": licenses.SQL,
 }
