@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmith.llm import licenses, lines
+from corpusmith.llm import decontaminate, licenses, lines
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
 from corpusmith.llm.minhash import op8_minhash
@@ -15,9 +15,11 @@ QUERIES = {
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
     "op8_minhash_near_dedup": op8_minhash,
+    "op9_benchmark_decontamination": decontaminate.op9_decontaminate,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op6_license_scans": licenses.SQL,
+    "op9_benchmark_decontamination": decontaminate.SQL,
 }
