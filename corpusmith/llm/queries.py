@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from corpusmith.llm import decontaminate, licenses, lines
+from corpusmith.llm.ann import op3_ann
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
 from corpusmith.llm.minhash import op8_minhash
@@ -11,6 +12,7 @@ from corpusmith.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_line_dedup": lines.op2_lines,
+    "op3_approximate_nearest_neighbours": op3_ann,
     "op4_html_extraction": op4_html,
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
