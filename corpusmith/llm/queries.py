@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmith.llm import decontaminate, licenses, lines
+from corpusmith.llm import decontaminate, licenses, lines, warc
 from corpusmith.llm.ann import op3_ann
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
@@ -18,10 +18,12 @@ QUERIES = {
     "op6_license_scans": licenses.op6_licenses,
     "op8_minhash_near_dedup": op8_minhash,
     "op9_benchmark_decontamination": decontaminate.op9_decontaminate,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": lines.SQL,
     "op6_license_scans": licenses.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
+    "op10_warc": warc.SQL,
 }
