@@ -7,6 +7,7 @@ from corpusmith.llm.ann import op3_ann
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
 from corpusmith.llm.minhash import op8_minhash
+from corpusmith.llm.suffixes import op7_suffix_array
 from corpusmith.llm.toxicity import op1_toxicity
 
 QUERIES = {
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_html_extraction": op4_html,
     "op5_byte_level_bpe": op5_bpe,
     "op6_license_scans": licenses.op6_licenses,
+    "op7_suffix_array_dedup": op7_suffix_array,
     "op8_minhash_near_dedup": op8_minhash,
     "op9_benchmark_decontamination": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
