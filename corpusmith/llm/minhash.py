@@ -12,8 +12,8 @@ Banding: BANDS bands of ROWS coordinates; at a similarity of 0.8 two sets share
 
 Verification: a bucket doesn't pair its members. Round by round each bucket names one centre, of the component that has
 most of its members, and tests it against the members of other components, on the full sets; what is linked
-merges. Rounds end when no bucket holds two components with an untested pair left in this sense; all pairs across
-components that still share a bucket are then tested, each once. So components are exact for all pairs that share a band.
+merges. After CENTRE_ROUNDS rounds the members that still share a bucket across components are joined exactly by their rarest
+shingles, which leaves few pairs, each tested once. So components are exact for all pairs that share a band.
 
 Sets are 64-bit hashes of words combined over shingles. Null and empty texts: n_shingles 0, a component of their own.
 Ties go to the smaller id; repeated rows are members of one class. Null ids keep a null component. Other columns are ignored.
@@ -134,6 +134,38 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int
     return pairs.select("a", "b").join(tb, "b").join(ta, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint, linked boolean")
 
 
+def rare_pairs(left: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
+    """a, b: pairs of different components c, one of them `outside`, that can be similar by an exact prefix join.
+
+    Shingles are ordered by their number of nodes here, rarest first. Sets of n and m shingles, n <= m, that are similar share
+    need = ceil(num / (num + den) * (n + m)) of them; so they share one among the first n - need + 1 of one and m - need + 1 of
+    the other. A shingle of one node alone pairs nothing but takes a place, so a copy with many edits of its own has no pairs."""
+    num, den = similar
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(k)
+        for b in batches:
+            for node, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = shingles.of(text).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s)], ["node", "x"])
+
+    sets = texts.join(left.select("node"), "node", "left_semi").select("node", "text").mapInArrow(run, "node bigint, x bigint")
+    sets = staged(sets, "left-sets")
+    ordered = sets.join(sets.groupBy("x").agg(F.count("*").alias("df")), "x").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    n = F.size("xs")
+    # The least overlap is with a partner of the smallest size allowed.
+    prefix = F.slice("xs", 1, n - F.ceil(n * num / den - 1e-9).cast("int") + 1)
+    rows = ordered.select("node", n.alias("n"), F.posexplode(prefix).alias("at", "s")).where("s.df > 1").select("node", "n", "at", F.col("s.x").alias("x")).join(left, "node")
+    rows = staged(rows, "left-prefixes")
+    u = rows.where("outside")
+    v = rows.select("x", *[F.col(c).alias(f"{c}_v") for c in ("node", "n", "at", "c", "outside")])
+    need = F.ceil((F.col("n") + F.col("n_v")) * num / (num + den) - 1e-9)
+    fits = (F.col("n") - F.col("at") >= need) & (F.col("n_v") - F.col("at_v") >= need)
+    # The first shingle that two sets share lies within both bounds, so the bounds need no count of earlier ones.
+    met = u.join(v, "x").where((F.col("c") != F.col("c_v")) & _could("n", "n_v", similar) & fits & (~F.col("outside_v") | (F.col("node") < F.col("node_v"))))
+    return met.select(F.least("node", "node_v").alias("a"), F.greatest("node", "node_v").alias("b")).distinct()
+
+
 def _could(a: str, b: str, similar: tuple[int, int]):
     """Sets of these sizes can be similar enough."""
     num, den = similar
@@ -171,14 +203,9 @@ def near_duplicates(docs: DataFrame, k: int = 2, similar: tuple[int, int] = SIMI
             centre = each.groupBy("band", "key").agg(F.max(F.struct("size", F.col("c").alias("cc"), "o")).alias("x")).select("band", "key", F.col("x.cc").alias("cc"), F.col("x.o.node").alias("a"), F.col("x.o.n").alias("na"))
             found = m.join(centre, ["band", "key"]).where("c != cc").where(_could("n", "na", similar)).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         else:
-            # What is left: the members outside of a bucket's largest component against all of other components, once a pair.
             most = m.groupBy("band", "key", "c").agg(F.count("*").alias("size")).groupBy("band", "key").agg(F.max(F.struct("size", "c")).alias("x")).select("band", "key", F.col("x.c").alias("cc"))
-            sig = nodes.select("node", "bands")
-            rest = m.join(most, ["band", "key"])
-            u = rest.where("c != cc").join(sig, "node").select("band", "key", "node", "n", "c", "bands")
-            v = rest.join(sig, "node").select("band", "key", F.col("node").alias("w"), F.col("n").alias("nw"), F.col("c").alias("d"), "cc", F.col("bands").alias("bw"))
-            first = F.expr("array_position(zip_with(bands, bw, (x, y) -> x = y), true) - 1 = band")
-            found = u.join(v, ["band", "key"]).where(F.expr("c != d AND (d = cc OR node < w)")).where(_could("n", "nw", similar)).where(first).select(F.least("node", "w").alias("a"), F.greatest("node", "w").alias("b"))
+            left = m.join(most, ["band", "key"]).groupBy("node", "c").agg(F.max(F.col("c") != F.col("cc")).alias("outside"))
+            found = rare_pairs(staged(left, "left"), texts, k, similar)
         found = found.distinct()
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
