@@ -32,5 +32,6 @@ def drained(df: DataFrame, folder: str) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str) -> DataFrame:
-    """A file stream of a Parquet table, with the schema that the table has now."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A file stream of a Parquet table (a folder or one file), with the schema that the table has now."""
+    # as a pattern, since a stream takes a plain path for a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
