@@ -22,10 +22,11 @@ def running_sum(df: DataFrame, pos: str, value: Column, name: str, by: tuple[str
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("_e", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
     within = Window.partitionBy(*by, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    # null keys join too
-    on = reduce(lambda a, b: a & b, [df[c].eqNullSafe(totals[c]) for c in (*by, "_b")])
+    keys = (*by, "_b")
+    totals = totals.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])  # null keys join too
     joined = df.withColumn("_w", F.sum("_v").over(within)).join(totals, on)
-    return joined.select(*[df[c] for c in df.columns if c not in ("_v", "_b")], (F.col("_w") + F.col("_e")).alias(name))
+    return joined.select(*[c for c in df.columns if c not in ("_v", "_b")], (F.col("_w") + F.col("_e")).alias(name))
 
 
 def ranked(df: DataFrame, pos: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
