@@ -37,6 +37,12 @@ SAMPLE = 2500
 ROUNDS = 8
 #: Distinct words whose value a worker remembers before it starts anew.
 REMEMBERED = 300_000
+#: Words whose n-grams fitting hashes at a time.
+AT_ONCE = 10_000
+#: Training texts that must hold an n-gram for it to be learned.
+MIN_TEXTS = 4
+#: Batches of a round at least, on small samples.
+STEPS = 40
 
 words_of = re.compile(r"\w+").findall
 
@@ -111,9 +117,20 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, buckets: int = BUCKE
             classes.append(y)
     if len(set(classes)) < 2:
         return Scorer(np.zeros(0, np.float32), 0.0)
-    flat, lengths = gram_ids(list(number), buckets)
+    vocabulary = list(number)
+    parts = [gram_ids(vocabulary[i : i + AT_ONCE], buckets) for i in range(0, len(vocabulary), AT_ONCE)]
+    flat, lengths = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    del vocabulary, parts, number
     starts = np.cumsum(lengths) - lengths
-    emb = rng.uniform(-1 / DIM, 1 / DIM, (buckets, DIM)).astype(np.float32)
+    emb = (rng.random((buckets, DIM), np.float32) * 2 - 1) / DIM
+    # An n-gram of too few texts would be learned by heart: it stays at zero, like those that training never sees.
+    seen_in = np.zeros(buckets, np.int32)
+    for d in docs:
+        w = np.unique(d)
+        n = lengths[w]
+        seen_in[np.unique(flat[np.repeat(starts[w] - np.cumsum(n) + n, n) + np.arange(n.sum())])] += 1
+    learned = seen_in >= MIN_TEXTS
+    emb[~learned] = 0
     emb_sq = np.full(buckets, 1e-6, np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
     soft_sq, bias_sq = np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
@@ -141,7 +158,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, buckets: int = BUCKE
     for r in range(ROUNDS):
         x, y = windows(r == 0)
         share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-        for _ in range(2):
+        for _ in range(max(2, min(8, STEPS * 256 // len(y)))):
             order = rng.permutation(len(y))
             for at in range(0, len(order), 256):
                 b = order[at : at + 256]
@@ -171,6 +188,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, buckets: int = BUCKE
                 g_word = np.zeros_like(vec)
                 np.add.at(g_word, index[present], np.repeat(g_mean, count, axis=0))
                 g_gram = g_word[of_word] / n[of_word][:, None]
+                g_gram *= learned[ids][:, None]
                 touched, to = np.unique(ids, return_inverse=True)
                 g_sum = np.stack([np.bincount(to, g_gram[:, k], len(touched)) for k in range(DIM)], 1)
                 emb_sq[touched] += (g_sum**2).mean(1)
