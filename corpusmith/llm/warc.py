@@ -84,12 +84,15 @@ def resolve(records: DataFrame) -> DataFrame:
     )
     outcome = F.when(F.col("agrees"), "resolved").when(F.col("f.refers_to").isNotNull(), "validator_mismatch").otherwise("no_earlier_response")
     v = v.select("v.record_id", "v.target_uri", "v.canonical", "v.date", F.col("v.headers").alias("new"), outcome.alias("outcome"), F.when(F.col("agrees"), F.col("f.refers_to")).alias("refers_to"))
-    stored = full.groupBy(F.col("record_id").alias("refers_to")).agg(F.max_by(F.struct("status", F.map_entries("headers").alias("h"), "payload"), "date").alias("s"))
-    out = v.join(stored, "refers_to", "left")
+    latest = Window.partitionBy("record_id").orderBy(F.desc("date"), F.xxhash64("payload"))
+    stored = full.withColumn("_r", F.row_number().over(latest)).where(F.col("_r") == 1).select(F.col("record_id").alias("_key"), "status", F.col("headers").alias("old"), "payload")
+    # What is not resolved gets a key of its own that nothing has: nulls would all meet in one task.
+    out = v.withColumn("_key", F.coalesce("refers_to", F.concat(F.lit("-"), F.coalesce("record_id", F.lit("")), F.coalesce("canonical", F.lit(""))))).join(stored, "_key", "left")
+    out = out.withColumn("old", F.when(F.col("refers_to").isNotNull(), F.col("old"))).withColumn("status", F.when(F.col("refers_to").isNotNull(), F.col("status"))).withColumn("payload", F.when(F.col("refers_to").isNotNull(), F.col("payload")))
     kept = F.array(*[F.lit(h) for h in KEPT_HEADERS])
-    old = F.map_from_entries("s.h")
+    old = F.col("old")
     merged = F.map_concat(F.map_filter(old, lambda k, _: F.array_contains(kept, k) | ~F.array_contains(F.map_keys("new"), k)), F.map_filter("new", lambda k, _: ~F.array_contains(kept, k)))
-    return out.select("record_id", "target_uri", "canonical", "date", "outcome", "refers_to", F.col("s.status").alias("status"), F.when(F.col("s").isNotNull(), merged).otherwise(F.col("new")).alias("headers"), F.col("s.payload").alias("payload"))
+    return out.select("record_id", "target_uri", "canonical", "date", "outcome", "refers_to", "status", F.when(F.col("old").isNotNull(), merged).otherwise(F.col("new")).alias("headers"), "payload")
 
 
 def parse_warc(raw: bytes) -> Iterator[dict]:
