@@ -91,7 +91,7 @@ def containments(blocks: Column, templates: list[frozenset[str]], ranked: list[s
         full, n = literal(words), len(words)
 
         def passes(b):
-            shared = F.element_at(F.array_intersect(literal(prefix), F.slice(b, 1, F.greatest(F.size(b) - need + 1, F.lit(0)))), 1)
+            shared = F.get(F.array_intersect(literal(prefix), F.slice(b, 1, F.greatest(F.size(b) - need + 1, F.lit(0)))), F.lit(0))
             room = F.least(n - F.array_position(full, shared), F.size(b) - F.array_position(b, shared))
             return (F.size(b) >= need) & F.arrays_overlap(b, literal(prefix)) & (1 + room >= need) & (F.size(F.array_intersect(b, full)) >= need)
 
