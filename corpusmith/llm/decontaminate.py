@@ -83,14 +83,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = TH
         by = by.withColumn("need", F.ceil(t * (2 * num) / (num + den) - 1e-9).cast("int")).where(F.size("ats") >= F.col("need"))
         spans = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda j: F.struct(F.greatest(F.get("ats", j + F.col("need") - 1) - (t - 1), F.lit(0)).alias("lo"), F.get("ats", j).alias("hi")))
         starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s.lo <= s.hi), lambda s: F.sequence(s.lo, s.hi))))
-        windows = by.select("_row", "_i", starts.alias("starts")).where(F.size("starts") > 0)
-        per_row = windows.groupBy("_row").agg(F.collect_list(F.struct("_i", "starts")).alias("todo"))
+        windows = by.select("_row", "_i", "n", F.array_sort(starts).alias("starts")).where(F.size("starts") > 0)
+        per_row = windows.groupBy("_row").agg(F.collect_list(F.struct("_i", "n", "starts")).alias("todo"))
         words = per_row.join(rows, "_row").dropDuplicates(["_row"]).select("_row", "todo", _words(F.col("text")).alias("w")).select("_row", "todo", _shingles("w", k).alias("hs"))
-        flat = words.select("_row", "hs", F.explode("todo").alias("x")).select("_row", "hs", F.col("x._i").alias("_i"), F.explode("x.starts").alias("start"))
+        size = F.col("n") - k + 1
+        one = words.select("_row", "hs", F.explode("todo").alias("x")).select("_row", "hs", "x._i", "x.n", "x.starts")
+        # A window that loses the shingle that it gains is the one before it: of such a row of windows the first counts.
+        as_before = lambda s, i: (i > 0) & (F.get("starts", i - 1) == s - 1) & F.get("hs", s - 1).eqNullSafe(F.get("hs", s + size - 1))
+        flat = one.select("_row", "hs", "_i", "n", F.explode(F.filter("starts", lambda s, i: ~as_before(s, i))).alias("start"))
         of = items.where(F.col("k") == k).select("_i", "n", "h")
         of = of.dropDuplicates(["_i"])
-        size = F.col("n") - k + 1
-        cut = flat.join(F.broadcast(of.select("_i", "n")) if few else of.select("_i", "n"), "_i").where(F.col("start") + size <= F.size("hs")).select("_row", "_i", "n", "start", F.slice("hs", F.col("start") + 1, size).alias("h"))
+        cut = flat.where(F.col("start") + size <= F.size("hs")).select("_row", "_i", "n", "start", F.slice("hs", F.col("start") + 1, size).alias("h"))
         cut = staged(cut.withColumn("f", simhash("h")), "windows")
         marks = of.select("_i", simhash("h").alias("fi"))
         a = cut.select("_row", "_i", "start", "f", F.explode(_blocks("f")).alias("b")).select("_row", "_i", "start", "f", "b.block", "b.bits")
