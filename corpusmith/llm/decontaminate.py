@@ -28,7 +28,7 @@ from corpusmith.llm.common import staged, table, text_or_empty
 K = 5
 THRESHOLD = (8, 10)
 RADIUS = 27
-#: Distinct shingles of the benchmark that may be broadcast: 16 MB of keys.
+#: Distinct shingles of the benchmark, or numbers in lists of windows, that may be broadcast: about 16 MB.
 BROADCAST_ROWS = 1_000_000
 
 
@@ -84,8 +84,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = TH
         spans = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda j: F.struct(F.greatest(F.get("ats", j + F.col("need") - 1) - (t - 1), F.lit(0)).alias("lo"), F.get("ats", j).alias("hi")))
         starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s.lo <= s.hi), lambda s: F.sequence(s.lo, s.hi))))
         windows = by.select("_row", "_i", "n", F.array_sort(starts).alias("starts")).where(F.size("starts") > 0)
-        per_row = windows.groupBy("_row").agg(F.collect_list(F.struct("_i", "n", "starts")).alias("todo"))
-        words = per_row.join(rows, "_row").dropDuplicates(["_row"]).select("_row", "todo", _words(F.col("text")).alias("w")).select("_row", "todo", _shingles("w", k).alias("hs"))
+        per_row = staged(windows.groupBy("_row").agg(F.collect_list(F.struct("_i", "n", "starts")).alias("todo")), "window-places")
+        # Few documents leak as a rule: their windows then go to the documents, and texts needn't be shuffled.
+        volume = per_row.agg(F.sum(F.aggregate("todo", F.lit(4), lambda a, x: a + 4 + F.size(x.starts)).cast("long"))).first()[0] or 0
+        words = (F.broadcast(per_row) if volume <= BROADCAST_ROWS else per_row).join(rows, "_row").dropDuplicates(["_row"]).select("_row", "todo", _words(F.col("text")).alias("w")).select("_row", "todo", _shingles("w", k).alias("hs"))
         size = F.col("n") - k + 1
         one = words.select("_row", "hs", F.explode("todo").alias("x")).select("_row", "hs", "x._i", "x.n", "x.starts")
         # A window that loses the shingle that it gains is the one before it: of such a row of windows the first counts.
