@@ -33,7 +33,7 @@ from corpusmith.llm.common import small_batches, staged, table
 #: Vectors that the lists are fitted on at most, vectors a list should hold, and lists at most.
 SAMPLE, LIST_SIZE, LISTS = 20_000, 200, 4096
 REPLICAS, REPLICA_RATIO = 4, 0.3
-SEARCH_RATIO = 0.13
+SEARCH_RATIO = 0.10
 #: Neighbours of a centroid in the graph; centroids where each search starts.
 DEGREE, ENTRIES = 24, 8
 #: Vectors of a list that one task scans at a time.
