@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.functions.code import styles as S
 from corpusmith.functions.code import udfs
-from corpusmith.operators import codebleu, metrics, splits
+from corpusmith.operators import codebleu, layout, metrics, splits
 from corpusmith.plans.relational import ORACLES, QUERIES, table  # noqa: F401
 
 _K = "(1 + p_size % 4)"
@@ -45,7 +45,7 @@ def programs(spark, d, closed: bool = False) -> DataFrame:
     even = F.col("p_partkey") % 2 == 0
     last = F.lit("}") if closed else F.when(F.col("p_partkey") % 13 == 0, "").otherwise("}")
     code = F.when(even, F.concat(function, last)).otherwise(F.concat(F.lit("class A {\n"), function, F.lit("}\n"), last))
-    return table(spark, d, "part").select("p_partkey", "p_size", F.when(even, "c").otherwise("java").alias("lang"), code.alias("code"))
+    return layout.spread(table(spark, d, "part").select("p_partkey", "p_size")).select("p_partkey", "p_size", F.when(even, "c").otherwise("java").alias("lang"), code.alias("code"))
 
 
 def counted(spark, d) -> DataFrame:

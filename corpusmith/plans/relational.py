@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text as X
-from corpusmith.operators import bleu, metrics, splits
+from corpusmith.operators import bleu, layout, metrics, splits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +42,7 @@ def documents(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def gold_pred(spark: SparkSession, d: str) -> DataFrame:
     """id, lang, gold and pred tokens: predictions are the gold tokens without every seventh."""
-    g = documents(spark, d, "lang").select(F.col("doc_id").alias("id"), "lang", X.tokens(X.ascii_lower(F.col("text"))).alias("gold"))
+    g = layout.spread(documents(spark, d, "lang")).select(F.col("doc_id").alias("id"), "lang", X.tokens(X.ascii_lower(F.col("text"))).alias("gold"))
     return g.withColumn("pred", F.filter("gold", lambda x, i: (i + 1) % 7 != 0))
 
 
@@ -344,7 +344,7 @@ def bleu_c_plain_tokens(spark, d):
 @query()
 def bleu_c_moses(spark, d):
     """The mean of ids by language, on text that the mteval rules normalize."""
-    docs = documents(spark, d, "lang").select(F.col("doc_id").alias("id"), "lang", X.split_punctuation(F.lower(F.trim("text"))).alias("t"))
+    docs = layout.spread(documents(spark, d, "lang")).select(F.col("doc_id").alias("id"), "lang", X.split_punctuation(F.lower(F.trim("text"))).alias("t"))
     g = docs.select("id", "lang", X.mteval_tokens(F.col("t")).alias("gold")).withColumn("pred", F.filter("gold", lambda x, i: (i + 1) % 7 != 0)).withColumn("refs", F.array("gold"))
     s = bleu.with_stats(g, "pred", "refs").select("id", "lang", "s")
     each = bleu.sums(s, bleu.shortest(), ("id", "lang")).select("lang", bleu.bleu_c().alias("b"))
