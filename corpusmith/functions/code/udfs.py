@@ -108,5 +108,9 @@ class AstNodes:
 
 
 def register(spark: SparkSession) -> None:
-    """The functions under their names in SQL."""
+    """The functions under their names in SQL: ast_nodes, style_counts, syntax_ok, leaf_tokens, subtree_sexps, of (code, lang)."""
     spark.udtf.register("ast_nodes", AstNodes)
+    spark.udf.register("style_counts", _per_program(styles.of_tree, "map<string,int>"))
+    spark.udf.register("syntax_ok", _per_program(lambda t: t.errors == 0, "boolean"))
+    spark.udf.register("leaf_tokens", _per_program(styles.leaf_tokens, "array<string>"))
+    spark.udf.register("subtree_sexps", _per_program(flow.shallow_subtrees, "array<string>"))

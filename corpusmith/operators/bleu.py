@@ -85,6 +85,11 @@ def bleu_a(smooth: bool = True) -> Column:
     return F.when(F.least(*p) > 0, F.exp(_mean_log([F.log(x) for x in p]))).otherwise(0.0) * bp
 
 
+def bleu_percent() -> Column:
+    """BLEU-A with smoothing as a percentage of two decimals."""
+    return F.round(bleu_a() * 100, 2)
+
+
 def brevity_penalty(hyp: Column, ref: Column) -> Column:
     return F.when(hyp > ref, 1.0).when(hyp == 0, 0.0).otherwise(F.exp(1 - ref / F.when(hyp != 0, hyp)))
 

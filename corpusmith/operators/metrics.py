@@ -99,6 +99,11 @@ def success_rate(df: DataFrame, tried: str, succeeded: str, by: tuple[str, ...]
     return df.groupBy(*by).agg(F.try_divide(F.sum(F.col(succeeded).cast("double")), F.sum(F.col(tried).cast("double"))).alias("rate"))
 
 
+def rate_check(df: DataFrame, flagged: str, styled: Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """The share of flagged rows, and among the others the share that has the style."""
+    return df.groupBy(*by).agg(share(F.col(flagged)).alias("flagged_rate"), share(styled, ~F.col(flagged)).alias("style_rate"))
+
+
 def style_label_table(df: DataFrame, style: str, present: Column, label: str) -> DataFrame:
     """For each style the 2 x 2 table of presence and label, the lift of label 1 and chi-square; null where undefined."""
     lab = F.col(label) == 1

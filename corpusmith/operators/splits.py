@@ -58,6 +58,16 @@ def hash_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(k)
 
 
+def hash_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
+    """About this share of the rows, each decided by its key alone: no shuffle, and the same rows each time."""
+    h = F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long")
+    return df.where(h < int(share * (1 << 32)))
+
+
+def longest_first(df: DataFrame, text: str, pos: str) -> DataFrame:
+    return df.orderBy(F.desc(F.length(text)), pos)
+
+
 def row_limit(df: DataFrame, pos: str, n: int) -> DataFrame:
     """The first n rows; -1 means all."""
     return df if n == -1 else df.orderBy(pos).limit(n)

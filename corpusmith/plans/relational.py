@@ -81,6 +81,23 @@ def hash_sample_k(spark, d):
     return splits.hash_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 100)
 
 
+@query("SELECT doc_id FROM documents WHERE ('0x' || substr(md5(doc_id || ':42'), 1, 8))::BIGINT < floor(0.1::DOUBLE * 4294967296)")
+def hash_share_10(spark, d):
+    return splits.hash_share(table(spark, d, "documents").select("doc_id"), "doc_id", 0.1)
+
+
+@query("SELECT quality AS grp, count(*) FILTER (toxic = 1) / count(*)::DOUBLE AS flagged_rate, count(*) FILTER (toxic = 0 AND contains(text, '|')) / nullif(count(*) FILTER (toxic = 0), 0)::DOUBLE AS style_rate FROM labels JOIN documents USING (doc_id) GROUP BY 1")
+def rate_check(spark, d):
+    piped = documents(spark, d).select("doc_id", F.col("text").contains("|").alias("piped"))
+    rows = table(spark, d, "labels").join(piped, "doc_id").select(F.col("quality").alias("grp"), (F.col("toxic") == 1).alias("flagged"), "piped")
+    return metrics.rate_check(rows, "flagged", F.col("piped"), ("grp",))
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents ORDER BY length(text) DESC, doc_id LIMIT 20")
+def longest_documents(spark, d):
+    return splits.longest_first(documents(spark, d), "text", "doc_id").limit(20).select("doc_id", F.length("text").alias("n"))
+
+
 @query("SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 50")
 def row_limit(spark, d):
     return splits.row_limit(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id", 50)
@@ -321,6 +338,11 @@ def bleu_a(spark, d):
     return bleu.sums(_with_stats(spark, d), bleu.shortest(), ("lang",)).select("lang", F.round(bleu.bleu_a(), 8).alias("bleu"))
 
 
+@query(_bleu_a_sql(1).replace("SELECT lang, round(CASE", "SELECT lang, round(100 * CASE").replace(", 8) AS bleu", ", 2) AS bleu"))
+def bleu_percent(spark, d):
+    return bleu.sums(_with_stats(spark, d), bleu.shortest(), ("lang",)).select("lang", bleu.bleu_percent().alias("bleu"))
+
+
 @query(_bleu_a_sql(0))
 def bleu_a_nosmooth(spark, d):
     return bleu.sums(_with_stats(spark, d), bleu.shortest(), ("lang",)).select("lang", F.round(bleu.bleu_a(smooth=False), 8).alias("bleu"))

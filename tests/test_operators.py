@@ -84,6 +84,23 @@ def test_udfs_take_nulls(spark):
     assert [r[1] for r in got] == [None, None, True] and got[2][2] == "int f() { ++i; }"
 
 
+def test_functions_in_sql(spark):
+    udfs.register(spark)
+    spark.createDataFrame([("int f() { for (;;) { i++; } }", "c")], "code string, lang string").createOrReplaceTempView("one_program")
+    row = spark.sql("SELECT style_counts(code, lang)['10.7'] AS n, syntax_ok(code, lang) AS ok, size(leaf_tokens(code, lang)) AS leaves FROM one_program").first()
+    assert tuple(row) == (1, True, 16)
+    rows = spark.sql("SELECT n.type, n.field, n.depth FROM one_program p, LATERAL ast_nodes(p.code, p.lang) n WHERE n.type = 'for_statement'").collect()
+    assert len(rows) == 1
+
+
+def test_shares_and_rates(spark):
+    df = spark.range(20_000).select(F.col("id"), (F.col("id") % 5 == 0).alias("flagged"))
+    assert abs(splits.hash_share(df, "id", 0.25).count() - 5000) < 300
+    assert splits.hash_share(df, "id", 1.0).count() == 20_000 and splits.hash_share(df, "id", 0.0).count() == 0
+    r = metrics.rate_check(df, "flagged", F.col("id") % 2 == 0).first()
+    assert r.flagged_rate == pytest.approx(0.2) and r.style_rate == pytest.approx(0.5)
+
+
 def test_readers_and_writers(spark, tmp_path):
     rows = spark.createDataFrame([("int f;", 1, 7), ("int g;", 0, 8), (None, 1, 9)], "func string, target int, idx bigint")
     out = f"{tmp_path}/d"
