@@ -5,8 +5,9 @@ equal size; a list's centroid is the mean of its part of the sample. Every vecto
 nearest list and, as a boundary vector, to others whose centroid is at most (1 + REPLICA_RATIO) times as far, up to REPLICAS lists.
 
 Search: a query finds its nearest centroids by best-first search in a graph that links each centroid with near ones, held in memory
-(LISTS centroids at most), and keeps the lists whose centroid is at most (1 + SEARCH_RATIO) times as far as the nearest
-one. A list is scanned in blocks of a bounded number of vectors, dealt to tasks by list and block; every block hands on
+(LISTS centroids at most), and keeps the lists whose centroid is at most (1 + ratio) times as far as the nearest
+one. The ratio is SEARCH_RATIO or more: on a sample of the queries, whose nearest vectors one exact pass over the table finds, it is
+raised until the lists kept hold TARGET of those, so recall holds as tables and lists grow. A list is scanned in blocks of a bounded number of vectors, dealt to tasks by list and block; every block hands on
 its best few for each query, so no task sees an unbounded group and no pairs are written.
 
 Equal vectors form one entry with its smallest ids, as many as an answer can need, so a vector that a third of the rows share
@@ -33,7 +34,9 @@ from corpusmith.llm.common import small_batches, staged, table
 #: Vectors that the lists are fitted on at most, vectors a list should hold, and lists at most.
 SAMPLE, LIST_SIZE, LISTS = 20_000, 200, 4096
 REPLICAS, REPLICA_RATIO = 4, 0.3
-SEARCH_RATIO = 0.10
+SEARCH_RATIO = 0.13
+#: Queries that the ratio is calibrated on at most, and the share of their nearest vectors that the lists kept must hold.
+CALIBRATED, TARGET = 200, 0.97
 #: Neighbours of a centroid in the graph; centroids where each search starts.
 DEGREE, ENTRIES = 24, 8
 #: Vectors of a list that one task scans at a time.
@@ -83,8 +86,11 @@ class Centroids:
         dt = np.take_along_axis(d, top, 1)
         return [t[e <= (1 + REPLICA_RATIO) * e.min()] for t, e in zip(top, dt, strict=True)]
 
-    def search(self, q: np.ndarray) -> np.ndarray:
-        """Lists to scan for one query: best-first over the graph until nothing within the ratio is left to expand."""
+    def search(self, q: np.ndarray, ratio: float = SEARCH_RATIO, graph: bool = True) -> np.ndarray:
+        """Lists to scan for one query: best-first over the graph until nothing within the ratio is left to expand; or by all centroids."""
+        if not graph:
+            d = np.sqrt(np.maximum(self.sq + q @ q - 2 * self.c @ q, 0))
+            return np.flatnonzero(d <= (1 + ratio) * d.min())
         seen = np.zeros(len(self.c), bool)
         q_sq = q @ q
         found, ds, heap, best = [], [], [], np.inf
@@ -100,7 +106,7 @@ class Centroids:
             # a little beyond the ratio, lest a list within it be reached only through one outside
             while heap:
                 at, node = heapq.heappop(heap)
-                if at > (1 + 1.25 * SEARCH_RATIO) * best:
+                if at > (1 + 1.25 * ratio) * best:
                     heap.clear()
                     break
                 new = self.links[node][~seen[self.links[node]]]
@@ -108,10 +114,26 @@ class Centroids:
                     break
             else:
                 break
-            if not heap and not len(new) or at > (1 + 1.25 * SEARCH_RATIO) * best:
+            if not heap and not len(new) or at > (1 + 1.25 * ratio) * best:
                 break
         found, ds = np.concatenate(found), np.concatenate(ds)
-        return found[ds <= (1 + SEARCH_RATIO) * best]
+        return found[ds <= (1 + ratio) * best]
+
+    def calibrated(self, asked: np.ndarray, of: np.ndarray, near: np.ndarray) -> tuple[float, bool]:
+        """ratio and graph for `search`, so that TARGET of the vectors `near` lie in a list kept for the query asked[of] that each is nearest to."""
+        if not len(near):
+            return SEARCH_RATIO, True
+        homes = self.lists_of(near)
+        d = np.sqrt(np.maximum(self.sq[None, :] + (asked**2).sum(1)[:, None] - 2 * asked @ self.c.T, 0))
+        least = np.maximum(d.min(1), 1e-12)
+        needed = np.array([d[i, h].min() / least[i] - 1 for i, h in zip(of, homes, strict=True)])
+        exact = max(SEARCH_RATIO, float(np.quantile(needed, TARGET, method="higher")) + 1e-9)
+        # The graph may miss a list within the ratio: a wider one makes up for it, or else all centroids are looked at.
+        for ratio in (exact, 1.1 * exact, 1.25 * exact):
+            kept = [set(self.search(q, ratio).tolist()) for q in asked]
+            if sum(not kept[i].isdisjoint(h.tolist()) for i, h in zip(of, homes, strict=True)) >= TARGET * len(near):
+                return ratio, True
+        return exact, False
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -123,6 +145,34 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("v") == (length.n if length else 0))
 
 
+def true_neighbours(entries: DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
+    """q (place in asked), uid, v: the k nearest entries of each vector asked (uid, v), by comparing all."""
+    shared = entries.sparkSession.sparkContext.broadcast((unit(np.stack(asked.v.to_numpy())), asked.uid.to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, own = shared.value
+        best = np.full((len(q), 0), 0.0)
+        ids, vs = np.empty((len(q), 0), np.int64), np.empty((len(q), 0, q.shape[1]))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            uid = b.column(0).to_numpy()
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            s = q @ unit(x).T
+            s[own[:, None] == uid[None, :]] = -np.inf
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            best, ids, vs = np.concatenate([best, np.take_along_axis(s, top, 1)], 1), np.concatenate([ids, uid[top]], 1), np.concatenate([vs, x[top]], 1)
+            top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+            best, ids, vs = np.take_along_axis(best, top, 1), np.take_along_axis(ids, top, 1), np.take_along_axis(vs, top[:, :, None], 1)
+        if best.shape[1]:
+            of, there = np.nonzero(np.isfinite(best))
+            yield pa.RecordBatch.from_arrays([pa.array(of.astype(np.int32)), pa.array(ids[of, there]), pa.array(best[of, there]), pa.array(list(vs[of, there]), pa.list_(pa.float64()))], ["q", "uid", "score", "v"])
+
+    few = entries.select("uid", "v").mapInArrow(run, "q int, uid bigint, score double, v array<double>")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "uid")
+    return few.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "uid", "v").toPandas()
+
+
 def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id satisfies `queries` (a Column -> Column), among all others."""
     spark = vectors.sparkSession
@@ -140,7 +190,17 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     lists = 1
     while lists * 2 * LIST_SIZE <= n and lists < LISTS:
         lists *= 2
-    shared = spark.sparkContext.broadcast(Centroids(balanced_centroids(unit(np.stack(sample.v.to_numpy())), min(lists, 1 << (len(sample).bit_length() - 1)))))
+    centroids = Centroids(balanced_centroids(unit(np.stack(sample.v.to_numpy())), min(lists, 1 << (len(sample).bit_length() - 1))))
+    shared = spark.sparkContext.broadcast(centroids)
+    asked = valid.where(queries(F.col("id"))).select("id", "v")
+    keyed = asked.join(entries.select("v", "uid"), "v").select("id", "uid")
+    wanted = entries.join(keyed.select("uid").distinct(), "uid").select("uid", "v")
+    ratio, graph = SEARCH_RATIO, True
+    tried = wanted.orderBy(F.xxhash64(F.lit(1), "uid"), "uid").limit(CALIBRATED).toPandas() if lists > 1 else []
+    if len(tried):
+        near = true_neighbours(entries, tried, k)
+        if len(near):
+            ratio, graph = centroids.calibrated(unit(np.stack(tried.v.to_numpy())), near.q.to_numpy(), unit(np.stack(near.v.to_numpy())))
 
     def place(searched: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +210,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 u = unit(x)
-                to = [c.search(row) for row in u] if searched else c.lists_of(u)
+                to = [c.search(row, ratio, graph) for row in u] if searched else c.lists_of(u)
                 many = np.fromiter(map(len, to), np.int64, len(to))
                 row = np.repeat(np.arange(len(to)), many)
                 at = pa.array(row)
@@ -161,9 +221,6 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     index = entries.select("uid", "v").mapInArrow(place(False), "list int, uid bigint, v array<double>")
     index = staged(index, "ann-index")
     blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row a list
-    asked = valid.where(queries(F.col("id"))).select("id", "v")
-    keyed = asked.join(entries.select("v", "uid"), "v").select("id", "uid")
-    wanted = entries.join(keyed.select("uid").distinct(), "uid").select("uid", "v")
     probes = wanted.mapInArrow(place(True), "list int, uid bigint, v array<double>")
     blocks = F.broadcast(blocks)  # LISTS rows at most
     left = index.join(blocks, "list").select("list", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), "uid", "v")

@@ -73,3 +73,30 @@ def test_balance_and_graph():
     assert sizes.max() <= 10
     for lists, dist in zip(c.lists_of(x[:50]), d):
         assert int(dist.argmin()) in lists.tolist() and 1 <= len(lists) <= ann.REPLICAS
+
+
+def test_recall_holds_with_many_lists():
+    # Few vectors a list, as where the number of lists is at its bound: a fixed ratio then keeps too few of them.
+    rng = np.random.default_rng(4)
+    x = ann.unit(rng.normal(size=(60_000, 64)))
+    c = ann.Centroids(ann.balanced_centroids(x[:20_000], 2048))
+    asked, others = x[:150], x[150:]
+    near = np.argsort(-(asked @ others.T), axis=1)[:, :5]
+    ratio, graph = c.calibrated(asked[:100], np.repeat(np.arange(100), 5), others[near[:100].ravel()])
+
+    def recall(rows, *by):
+        kept = [set(c.search(q, *by).tolist()) for q in asked[rows]]
+        return np.mean([not k.isdisjoint(h.tolist()) for k, n in zip(kept, near[rows]) for h in c.lists_of(others[n])])
+
+    assert recall(slice(100, 150), 0.10) < 0.9 <= recall(slice(100, 150), ratio, graph)
+
+
+def test_true_neighbours(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=8)) for i in range(700)]
+    entries = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "uid long, v array<double>")
+    tried = entries.where("uid % 50 = 0").toPandas()
+    got = {}
+    for r in ann.true_neighbours(entries, tried, 5).itertuples():
+        got.setdefault(int(tried.uid[r.q]), set()).add(r.uid)
+    assert got == {q: {i for i, _ in found} for q, found in brute(rows, tried.uid.tolist()).items()}
