@@ -3,9 +3,10 @@
 A document leaks an item if a window of as many words as the item has is similar to it by THRESHOLD or more. Words are runs of
 letters and digits of the lower-cased text. Similarity is weighted: with c(x) the number of times that the five-word
 shingle x occurs, it is the sum over x of min(c, c') divided by the sum of max(c, c').
+A document of fewer words than the item is one clipped window, compared whole by the same similarity; n_words is then its own number.
 An item of fewer than five words counts as one shingle of all its words; an item without words leaks nowhere.
 
-1. Windows that can reach the threshold: equal sizes mean that a window must hold `need` of the item's shingles. The places of
+1. Windows that can reach the threshold: sizes are known, so a window must hold `need` of the item's shingles. The places of
    an item's shingles in a document, in order, give these windows in one pass. This drops no window.
 2. Each window and item gets a 64-bit SimHash of its shingles, weighted by their number. Fingerprints are cut
    into RADIUS + 1 blocks: two within RADIUS bits agree in one block at least (pigeonhole), so the equi-join on item,
@@ -75,39 +76,39 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = TH
     found = []
     for k in sizes:
         some = shingle.where(F.col("k") == k).select("_i", "n", "x")
-        places = rows.select("_row", _words(F.col("text")).alias("w")).select("_row", F.posexplode(_shingles("w", k)).alias("at", "x"))
+        places = rows.select("_row", _words(F.col("text")).alias("w")).select("_row", F.size("w").alias("nw"), F.posexplode(_shingles("w", k)).alias("at", "x"))
         hit = places.join(F.broadcast(some) if few else some, "x")
-        # A window of n words has T = n - k + 1 shingles, so a similarity of num/den needs m / (2 T - m) >= num/den.
-        t = F.col("n") - k + 1
-        by = hit.groupBy("_row", "_i", "n").agg(F.array_sort(F.collect_set("at")).alias("ats"))
-        by = by.withColumn("need", F.ceil(t * (2 * num) / (num + den) - 1e-9).cast("int")).where(F.size("ats") >= F.col("need"))
-        spans = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda j: F.struct(F.greatest(F.get("ats", j + F.col("need") - 1) - (t - 1), F.lit(0)).alias("lo"), F.get("ats", j).alias("hi")))
+        # An item of n words has T = n - k + 1 shingles, a window S (T, or all of a shorter document), so a similarity of num/den needs m / (S + T - m) >= num/den.
+        t, size = F.col("n") - k + 1, F.least("n", "nw") - k + 1
+        by = hit.groupBy("_row", "_i", "n", "nw").agg(F.array_sort(F.collect_set("at")).alias("ats"))
+        by = by.withColumn("need", F.ceil((t + size) * num / (num + den) - 1e-9).cast("int")).where(F.size("ats") >= F.col("need"))
+        spans = F.transform(F.sequence(F.lit(0), F.size("ats") - F.col("need")), lambda j: F.struct(F.greatest(F.get("ats", j + F.col("need") - 1) - (size - 1), F.lit(0)).alias("lo"), F.get("ats", j).alias("hi")))
         starts = F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s.lo <= s.hi), lambda s: F.sequence(s.lo, s.hi))))
         windows = by.select("_row", "_i", "n", F.array_sort(starts).alias("starts")).where(F.size("starts") > 0)
         per_row = staged(windows.groupBy("_row").agg(F.collect_list(F.struct("_i", "n", "starts")).alias("todo")), "window-places")
         # Few documents leak as a rule: their windows then go to the documents, and texts needn't be shuffled.
         volume = per_row.agg(F.sum(F.aggregate("todo", F.lit(4), lambda a, x: a + 4 + F.size(x.starts)).cast("long"))).first()[0] or 0
         words = (F.broadcast(per_row) if volume <= BROADCAST_ROWS else per_row).join(rows, "_row").dropDuplicates(["_row"]).select("_row", "todo", _words(F.col("text")).alias("w")).select("_row", "todo", _shingles("w", k).alias("hs"))
-        size = F.col("n") - k + 1
+        size = F.least(F.col("n") - k + 1, F.size("hs"))
         one = words.select("_row", "hs", F.explode("todo").alias("x")).select("_row", "hs", "x._i", "x.n", "x.starts")
         # A window that loses the shingle that it gains is the one before it: of such a row of windows the first counts.
         as_before = lambda s, i: (i > 0) & (F.get("starts", i - 1) == s - 1) & F.get("hs", s - 1).eqNullSafe(F.get("hs", s + size - 1))
         flat = one.select("_row", "hs", "_i", "n", F.explode(F.filter("starts", lambda s, i: ~as_before(s, i))).alias("start"))
         of = items.where(F.col("k") == k).select("_i", "n", "h")
         of = of.dropDuplicates(["_i"])
-        cut = flat.where(F.col("start") + size <= F.size("hs")).select("_row", "_i", "n", "start", F.slice("hs", F.col("start") + 1, size).alias("h"))
+        cut = flat.where(F.col("start") + size <= F.size("hs")).select("_row", "_i", "n", size.alias("size"), "start", F.slice("hs", F.col("start") + 1, size).alias("h"))
         cut = staged(cut.withColumn("f", simhash("h")), "windows")
         marks = of.select("_i", simhash("h").alias("fi"))
         a = cut.select("_row", "_i", "start", "f", F.explode(_blocks("f")).alias("b")).select("_row", "_i", "start", "f", "b.block", "b.bits")
         b = marks.select("_i", "fi", F.explode(_blocks("fi")).alias("b")).select("_i", "fi", "b.block", "b.bits")
         close = a.join(b, ["_i", "block", "bits"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("fi"))) <= RADIUS).select("_row", "_i", "start").distinct()
-        mine = cut.join(close, ["_row", "_i", "start"]).select("_row", "_i", "n", "start", F.explode("h").alias("x")).groupBy("_row", "_i", "n", "start", "x").agg(F.count("*").alias("c"))
+        mine = cut.join(close, ["_row", "_i", "start"]).select("_row", "_i", "n", "size", "start", F.explode("h").alias("x")).groupBy("_row", "_i", "n", "size", "start", "x").agg(F.count("*").alias("c"))
         theirs = of.select("_i", F.explode("h").alias("x")).groupBy("_i", "x").agg(F.count("*").alias("d"))
-        both = mine.join(theirs, ["_i", "x"]).groupBy("_row", "_i", "n", "start").agg(F.sum(F.least("c", "d")).alias("m"))
-        total = 2 * (F.col("n") - k + 1)
+        both = mine.join(theirs, ["_i", "x"]).groupBy("_row", "_i", "n", "size", "start").agg(F.sum(F.least("c", "d")).alias("m"))
+        total = F.col("size") + F.col("n") - k + 1
         good = both.where(F.col("m") * den >= (total - F.col("m")) * num).withColumn("similarity", F.col("m") / (total - F.col("m")))
-        best = good.groupBy("_row", "_i", "n").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
-        found.append(best.select("_row", "_i", (-F.col("b.s")).alias("start_word"), F.col("n").alias("n_words"), F.col("b.similarity")))
+        best = good.groupBy("_row", "_i", "size").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
+        found.append(best.select("_row", "_i", (-F.col("b.s")).alias("start_word"), (F.col("size") + k - 1).alias("n_words"), F.col("b.similarity")))
     if not found:
         return empty.drop("_row")
     all_found = found[0]

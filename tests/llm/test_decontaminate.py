@@ -78,3 +78,18 @@ def test_simhash(spark):
 
 def test_query(spark):
     assert_same(decontaminate.op9_decontaminate(spark, f"{DATA}/sf0.01"), connect("sf0.01"), decontaminate.SQL)
+
+
+def test_documents_shorter_than_the_item(spark):
+    item = [f"w{i}" for i in range(50)]
+    docs = [(1, item[:-1]), (2, item[3:]), (3, item[:45]), (4, item[:40]), (5, item[:2] + ["x"] + item[3:49]), (6, item[:4]), (7, item[1:] + ["y"])]
+    out = decontaminate.leaks(documents(spark, [(i, " ".join(w)) for i, w in docs]), benchmark(spark, [(7, " ".join(item))])).collect()
+    got = {r.doc_id: (r.start_word, r.n_words, r.similarity) for r in out}
+    theirs = Counter(zip(*[item[j:] for j in range(5)]))
+    want = {}
+    for i, w in docs:
+        mine = Counter(zip(*[w[j:] for j in range(5)]))
+        share = sum((mine & theirs).values()) / sum((mine | theirs).values())
+        if share >= 0.8:
+            want[i] = (0, len(w), pytest.approx(share))
+    assert got == want and set(want) == {1, 2, 3, 5, 7}
