@@ -64,15 +64,26 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return w.select("item", F.size("w").alias("n"), F.least(F.size("w"), F.lit(K)).alias("k"), h.alias("h")).withColumn("_i", F.xxhash64("item", "h"))
 
 
+def _row() -> Column:
+    """The key of a row: repeated or null ids keep their texts apart."""
+    return F.xxhash64("doc_id", "text")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: the best window of each document and item that leaks."""
+    named = _leaks(docs, benchmark, threshold)
+    return docs.select(_row().alias("_row"), "doc_id").join(named, "_row").select("doc_id", "item_id", "start_word", "n_words", "similarity")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """_row, item_id, start_word, n_words, similarity: as `leaks`, once for equal rows."""
     num, den = threshold
     items = staged(_items(benchmark), "items")
     sizes = sorted(r.k for r in items.select("k").distinct().collect())  # 1 to 5
     shingle = items.select("_i", "n", "k", F.explode("h").alias("x")).distinct()
     few = shingle.count() <= BROADCAST_ROWS
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("_row"), "doc_id", text_or_empty().alias("text"))
-    empty = docs.sparkSession.createDataFrame([], "_row bigint, doc_id bigint, item_id bigint, start_word int, n_words int, similarity double")
+    rows = docs.select(_row().alias("_row"), text_or_empty().alias("text"))
+    empty = docs.sparkSession.createDataFrame([], "_row bigint, item_id bigint, start_word int, n_words int, similarity double")
     found = []
     for k in sizes:
         some = shingle.where(F.col("k") == k).select("_i", "n", "x")
@@ -110,12 +121,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = TH
         best = good.groupBy("_row", "_i", "size").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
         found.append(best.select("_row", "_i", (-F.col("b.s")).alias("start_word"), (F.col("size") + k - 1).alias("n_words"), F.col("b.similarity")))
     if not found:
-        return empty.drop("_row")
+        return empty
     all_found = found[0]
     for f in found[1:]:
         all_found = all_found.unionAll(f)
-    named = all_found.join(items.select("_i", F.col("item").alias("item_id")), "_i")
-    return rows.select("_row", "doc_id").join(named, "_row").select("doc_id", "item_id", "start_word", "n_words", "similarity")
+    return all_found.join(items.select("_i", F.col("item").alias("item_id")), "_i").select("_row", "item_id", "start_word", "n_words", "similarity")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +133,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak an item go."""
-    bad = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows whose text leaks an item go, whatever their id."""
+    bad = _leaks(docs, table(spark, sf_dir, "benchmark")).select("_row").distinct()
+    return docs.withColumn("_row", _row()).join(bad, "_row", "left_anti").select(*docs.columns)
 
 
 SQL = f"""

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.llm.common import small_batches, staged, table, text_or_empty
@@ -247,6 +247,13 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, 0.8) stays, that with the smallest id."""
-    kept = near_duplicates(docs, k=5).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near duplicates (five-word shingles, 0.8) stays, that with the smallest id, then hash of the text.
+
+    Rows count by id and text, so repeated ids are told apart; a null id comes after all others. Equal rows are a group; rows without words are none and stay."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn("_row", row)
+    near = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5).where("kept")
+    kept = near.groupBy(F.col("doc_id").alias("_row")).agg(F.min("n_shingles").alias("_n"))
+    # The join has sorted by the key already.
+    out = keyed.join(kept, "_row").withColumn("_r", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
+    return out.where("_r = 1 OR _n = 0").select(*docs.columns)

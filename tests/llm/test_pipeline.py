@@ -3,6 +3,7 @@ from corpusmith.llm import bpe, decontaminate, lines, minhash, toxicity  # noqa:
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_minhash import brute as brute_near
+from tests.llm.helpers import documents
 from tests.oracle import DATA
 
 D = f"{DATA}/sf0.001"
@@ -43,3 +44,16 @@ def test_each_stage_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, D).count() > 0
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    t = " ".join(f"w{i}" for i in range(60))
+    clean, other, third = "something else entirely", "a clean text of its own", "one more text that nobody copies"
+    near = [(3, t), (3, clean), (3, clean), (1, other), (1, t + " end"), (None, third), (None, third), (None, t + " at"), (None, None), (None, ""), (5, clean)]
+    out = rows(minhash.minhash_stage(spark, documents(spark, near), ""))
+    assert sorted(out, key=str) == sorted([(3, clean), (1, other), (1, t + " end"), (None, third), (None, None), (None, "")], key=str)
+
+    spark.createDataFrame([(1, t)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak = [(None, t), (None, clean), (4, "x " + t), (4, clean), (4, clean), (6, other), (7, None)]
+    out = rows(decontaminate.decontamination_stage(spark, documents(spark, leak), str(tmp_path)))
+    assert sorted(out, key=str) == sorted([(None, clean), (4, clean), (4, clean), (6, other), (7, None)], key=str)
