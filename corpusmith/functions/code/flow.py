@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections import Counter
 
-from corpusmith.functions.code.parser import Node, Tree
+import xxhash
+
+from corpusmith.functions.code.parser import Node, Tree, deep
 from corpusmith.functions.code.styles import BLOCKS, LOCALS, UPDATES
 
 
@@ -22,43 +24,53 @@ def subtrees(tree: Tree) -> list[str]:
     return found[::-1]
 
 
-#: Deeper trees are cut to this depth for s-expressions, so that their total size stays in proportion to the program.
-DEPTH = 12
-
+def subtree_digests(tree: Tree) -> list[str]:
+    """For each inner node a 128-bit digest of its whole subtree of types, from the digests of its children: linear at any depth."""
+    of: dict[int, str] = {}
+    found = []
+    for n in reversed(list(tree.root.walk())):  # children come before their parents
+        of[id(n)] = xxhash.xxh3_128_hexdigest(f"({n.type} {' '.join(of[id(c)] for c in n.children)})") if n.children else n.type
+        if n.children:
+            found.append(of[id(n)])
+    return found[::-1]
 
-def shallow_subtrees(tree: Tree, depth: int = DEPTH) -> list[str]:
-    """s-expressions of inner nodes, each to a bounded depth."""
-    def text(n: Node, left: int) -> str:
-        if not n.children or left == 0:
-            return n.type
-        return f"({n.type} {' '.join(text(c, left - 1) for c in n.children)})"
 
-    return [text(n, depth) for n in tree.root.walk() if n.children]
+def _depth(tree: Tree) -> int:
+    level, most = [tree.root], 0
+    while level:
+        level, most = [c for n in level for c in n.children], most + 1
+    return most
 
 
 Edge = tuple[str, int, str, tuple[str, ...], tuple[int, ...]]
 
 
 def data_flow(tree: Tree) -> list[Edge]:
-    """(variable, place, comesFrom or computedFrom, its sources, their places); places count the leaves. Loops are read twice, so that what
-    their end writes reaches their beginning; branches unite what they write."""
+    """(variable, place, comesFrom or computedFrom, its sources, their places); places count the leaves. A declaration comes from its value,
+    an assignment, an update and the variable of a loop over a collection are computed from theirs, and a use comes from where the
+    variable was written. Loops are read twice, so that what their end writes reaches their beginning; branches unite
+    what they write. Kept is one edge for each place that has sources or is one."""
     place = {}
     for i, n in enumerate(x for x in tree.root.walk() if x.text is not None):
         place[id(n)] = i
-    edges: dict[tuple, None] = {}
+    edges: dict[tuple[int, str], tuple[str, set]] = {}
 
     def reads(n: Node) -> list[Node]:
-        return [x for x in n.walk() if x.type == "identifier"]
+        """Variables and literals."""
+        return [x for x in n.walk() if x.text is not None and x.type != x.text]
+
+    def edge(x: Node, kind: str, sources) -> None:
+        edges.setdefault((place[id(x)], kind), (x.text, set()))[1].update(sources)
 
-    def use(n: Node, state: dict[str, tuple[int, ...]]) -> None:
-        for x in reads(n):
-            came = state.get(x.text, ())
-            edges[(x.text, place[id(x)], "comesFrom", (x.text,) if came else (), came)] = None
+    def use(x: Node, state: dict[str, tuple[int, ...]]) -> None:
+        came = state.get(x.text, ())
+        edge(x, "comesFrom", [(p, x.text) for p in came])
+        if not came and x.type == "identifier":
+            state[x.text] = (place[id(x)],)
 
-    def write(target: Node, sources: list[Node], state: dict[str, tuple[int, ...]]) -> None:
-        names = [x for x in reads(target)][:1]
-        for x in names:
-            edges[(x.text, place[id(x)], "computedFrom", tuple(s.text for s in sources), tuple(place[id(s)] for s in sources))] = None
+    def write(target: Node, kind: str, sources: list[Node], state: dict[str, tuple[int, ...]]) -> None:
+        for x in reads(target):
+            edge(x, kind, [(place[id(s)], s.text) for s in sources])
             state[x.text] = (place[id(x)],)
 
     def united(states: list[dict]) -> dict:
@@ -73,24 +85,18 @@ def data_flow(tree: Tree) -> list[Edge]:
             for d in n["declarators"] or []:
                 if d["value"] is not None:
                     state = visit(d["value"], state)
-                    write(d["name"] or d, reads(d["value"]), state)
-                else:
-                    name = d["name"] or d
-                    for x in reads(name)[:1]:
-                        state[x.text] = (place[id(x)],)
+                write(d["name"] or d, "comesFrom", reads(d["value"]) if d["value"] is not None else [], state)
             return state
         if t == "assignment_expression":
             state = visit(n["right"], state)
-            if n["op"].text != "=":
-                use(n["left"], state)
-            write(n["left"], reads(n["right"]) + (reads(n["left"])[:1] if n["op"].text != "=" else []), state)
+            write(n["left"], "computedFrom", reads(n["right"]), state)
             return state
         if t in UPDATES:
-            use(n["argument"], state)
-            write(n["argument"], reads(n["argument"])[:1], state)
+            write(n["argument"], "computedFrom", reads(n["argument"]), state)
             return state
-        if t == "identifier":
-            use(n, state)
+        if n.text is not None:
+            if t != n.text:
+                use(n, state)
             return state
         if t == "if_statement":
             state = visit(n["condition"], state)
@@ -116,13 +122,13 @@ def data_flow(tree: Tree) -> list[Edge]:
             before = dict(state)
             for _ in range(2):
                 state = visit(n["value"], united([before, state]))
-                write(n["name"], reads(n["value"]), state)
+                write(n["name"], "computedFrom", reads(n["value"]), state)
                 state = visit(n["body"], state)
             return united([before, state])
         if t == "parameter":
             if n["name"] is not None:
                 state[n["name"].text] = (place[id(n["name"])],)
-                edges[(n["name"].text, place[id(n["name"])], "comesFrom", (), ())] = None
+                edge(n["name"], "comesFrom", ())
             return state
         if t in ("function_definition", "method_declaration"):
             inside = visit(n["parameters"], dict(state))
@@ -132,18 +138,22 @@ def data_flow(tree: Tree) -> list[Edge]:
             state = visit(c, state)
         return state
 
-    try:
+    with deep(8 * _depth(tree)):
         visit(tree.root, {})
-    except RecursionError:
-        return []
-    return [e for e in edges if e[2] == "computedFrom" or e[3]]
+    known = {p for (p, _), (_, sources) in edges.items() if sources}
+    known |= {p for _, sources in edges.values() for p, _ in sources}
+    one: dict[int, tuple[str, str, set]] = {}
+    for (p, kind), (name, sources) in edges.items():
+        if p in known:
+            one.setdefault(p, (name, kind, set()))[2].update(sources)
+    return [(name, p, kind, tuple(t for _, t in sorted(sources)), tuple(q for q, _ in sorted(sources))) for p, (name, kind, sources) in sorted(one.items())]
 
 
 def normalized_flow(edges: list[Edge]) -> list[str]:
     """Edges as text, variables named by their first appearance."""
     names: dict[str, str] = {}
     out = []
-    for var, _, kind, sources, _ in sorted(edges, key=lambda e: e[1]):
+    for var, _, kind, sources, _ in edges:
         for s in sources:
             names.setdefault(s, f"var_{len(names)}")
         names.setdefault(var, f"var_{len(names)}")

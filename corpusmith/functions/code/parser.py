@@ -6,6 +6,7 @@ that it has one. Offsets are in characters. Node types bear the names of the pub
 
 from __future__ import annotations
 
+import contextlib
 import re
 import sys
 from collections.abc import Iterator
@@ -794,16 +795,20 @@ class Parser:
         return Node(self.n["root"], 0, len(self.code), items)
 
 
-def parse(code: str, lang: str) -> Tree:
-    """The tree of a program; lang is c, java or c_sharp. A program nested too deeply is one ERROR node."""
-    p = Parser(code, lang)
+@contextlib.contextmanager
+def deep(frames: int):
+    """Room for so many more frames: walks over deep programs are recursive, and frames of Python lie on the heap."""
     before = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(before, 6000))
+    sys.setrecursionlimit(max(before, 2000 + frames))
     try:
-        root = p.parse()
-    except RecursionError:
-        p.errors += 1
-        root = Node(p.n["root"], 0, len(code), [Node("ERROR", 0, len(code))])
+        yield
     finally:
         sys.setrecursionlimit(before)
+
+
+def parse(code: str, lang: str) -> Tree:
+    """The tree of a program, however deep; lang is c, java or c_sharp."""
+    p = Parser(code, lang)
+    with deep(40 * len(p.toks)):
+        root = p.parse()
     return Tree(root, code, lang, p.errors)

@@ -37,7 +37,7 @@ def leaf_tokens(code: Column, lang: Column) -> Column:
 
 
 def subtree_sexps(code: Column, lang: Column) -> Column:
-    return _per_program(flow.shallow_subtrees, "array<string>")(code, lang)
+    return _per_program(flow.subtree_digests, "array<string>")(code, lang)
 
 
 def dataflow_edges(code: Column, lang: Column) -> Column:
@@ -83,7 +83,7 @@ def similarity_stats(hyp: Column, ref: Column, lang: Column) -> Column:
         rows = []
         for a, b, lang in zip(h, r, l, strict=True):
             ta, tb = (parse(_strip(x or "", lang), lang) for x in (a, b))
-            s = flow.syntax_hits(flow.shallow_subtrees(ta), flow.shallow_subtrees(tb))
+            s = flow.syntax_hits(flow.subtree_digests(ta), flow.subtree_digests(tb))
             d = flow.flow_hits(flow.normalized_flow(flow.data_flow(ta)), flow.normalized_flow(flow.data_flow(tb)))
             rows.append((*s, *d))
         return pd.DataFrame(rows, columns=["syntax_hit", "syntax_all", "flow_hit", "flow_all"])
@@ -113,4 +113,4 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("style_counts", _per_program(styles.of_tree, "map<string,int>"))
     spark.udf.register("syntax_ok", _per_program(lambda t: t.errors == 0, "boolean"))
     spark.udf.register("leaf_tokens", _per_program(styles.leaf_tokens, "array<string>"))
-    spark.udf.register("subtree_sexps", _per_program(flow.shallow_subtrees, "array<string>"))
+    spark.udf.register("subtree_digests", _per_program(flow.subtree_digests, "array<string>"))

@@ -133,18 +133,40 @@ def test_comments():
     assert strip_comments('a = "//no"; // yes\n\n/* x\n y */ b;', "java") == 'a = "//no";  \n  b;'
     assert strip_comments("x = 1  # one\n", "python") == "x = 1  "
     assert strip_comments("x # y", "ruby") == "x # y"
+    doc = 'def f():\n    """é doc\n    more"""\n    s = "# no"  # yes é\n\n    return s\n'
+    assert strip_comments(doc, "python") == 'def f():\n    s = "# no"  \n    return s'
+    assert strip_comments("print 'old'  # yes", "python") == "print 'old'  " and strip_comments("x = (1\n\n", "python") == "x = (1\n\n"
+    assert strip_comments("x = '\\'//no'; // y", "c") == "x = '\\'//no';  " and strip_comments("it's /* open", "c") == "it's /* open"
 
 
 def test_similarity():
     a, b = c("int k = s; while (k > 0) { s = s + k; k--; }"), c("int k = s; while (k > 0) { s = s - k; k--; k--; }")
     ta, tb = parse(a, "c"), parse(b, "c")
-    sa, sb = flow.shallow_subtrees(ta), flow.shallow_subtrees(tb)
+    sa, sb = flow.subtree_digests(ta), flow.subtree_digests(tb)
     assert flow.syntax_hits(sa, sa) == (len(sa), len(sa)) and flow.syntax_hits(sb, sa)[0] < len(sa)
     fa = flow.normalized_flow(flow.data_flow(ta))
     renamed = parse(a.replace("k", "zz"), "c")
     assert fa and flow.flow_hits(flow.normalized_flow(flow.data_flow(renamed)), fa) == (len(fa), len(fa))
 
 
+def test_similarity_has_no_depth_limit():
+    inner = lambda x: parse(c("y = " + "(" * 20 + x + ")" * 20 + ";"), "c")
+    a, b = flow.subtree_digests(inner("p + q")), flow.subtree_digests(inner("p - q"))
+    # only subtrees beside the difference are equal, whatever lies above it
+    assert flow.syntax_hits(b, a)[0] <= len(a) - 20
+    deep = parse(c("int x = 1; x = " + "(" * 5000 + "x + 2" + ")" * 5000 + ";"), "c")
+    assert ("x", "computedFrom", ("x", "2")) in [(e[0], e[2], e[3]) for e in flow.data_flow(deep)]
+
+
+def test_data_flow_by_hand():
+    edges = flow.data_flow(parse("int f(int n) { int k = n; while (k > 0) { k = k - 1; } k++; return k; }", "c"))
+    shown = [(e[0], e[2], e[3]) for e in edges]
+    # the parameter; k comes from n; n from the parameter; k in the condition from its declaration or the loop's end
+    assert shown[1:4] == [("k", "comesFrom", ("n",)), ("n", "comesFrom", ("n",)), ("k", "comesFrom", ("k", "k"))], shown
+    assert ("k", "computedFrom", ("k", "1")) in shown and ("k", "computedFrom", ("k",)) in shown
+    assert shown[-1] == ("k", "comesFrom", ("k",))
+
+
 def test_audits():
     assert audits.inert_first_statements("int f() { if (1 > 2) { x(); } return 1; } int g() { y(); }", "c") == 1
     assert audits.inert_first_statements('class A { int f() { System.out.println("x"); return 1; } }', "java") == 1
