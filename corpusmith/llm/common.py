@@ -50,5 +50,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs with _doc, a long in the order of doc_id; and _doc with text (null: empty), once for each _doc.
+
+    Where ids are unique they are _doc themselves. Else the distinct (id, text) are numbered: null ids first, then by id, then by a
+    hash of the text; so rows that repeat an id and its text have one number, and rows with equal ids and different texts have several."""
+    text = F.col("text").cast("string")
+    ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    if ids.n == ids.d and dict(docs.dtypes)["doc_id"] in ("bigint", "int", "smallint", "tinyint"):
+        rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
+        return rows, rows.select("_doc", text_or_empty().alias("text"))
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
+    names = keyed.select("_key").distinct().repartitionByRange("_key").sortWithinPartitions("_key").select("_key", F.monotonically_increasing_id().alias("_doc"))
+    rows = _numbered(keyed, staged(names, "order"))
+    return rows, rows.select("_doc", text_or_empty().alias("text")).dropDuplicates(["_doc"])
+
+
+def _numbered(keyed: DataFrame, names: DataFrame) -> DataFrame:
+    named = names.select(F.col("_key").alias("_name"), "_doc")
+    same = F.col("_key.a").eqNullSafe(F.col("_name.a")) & F.col("_key.b").eqNullSafe(F.col("_name.b")) & F.col("_key.doc_id").eqNullSafe(F.col("_name.doc_id"))
+    return keyed.join(named, same).drop("_key", "_name")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

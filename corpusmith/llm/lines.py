@@ -1,21 +1,25 @@
 """Line dedup by a deletion neighbourhood, on native functions alone.
 
-The unit of an edit is a word (words are what single spaces separate in a trimmed line). Two lines are near when one word
-inserted, deleted or replaced turns one into the other and both have MIN_WORDS words or more; shorter lines
-are compared exactly. A line goes when an earlier line, by (doc_id, line number), is equal or near; all are judged on the
-input, and the earliest stays. Lines without a character other than spaces are never dropped.
+Two lines are near when one unit inserted, deleted or replaced turns one into the other. The unit is a word (what single spaces
+separate in a trimmed line) for lines of MIN_WORDS words or more, and a character for shorter lines of MIN_CHARS characters or more; lines of
+different units aren't near, and what is shorter still is compared exactly. A line goes when an earlier line, by (doc_id, line
+number), is equal or near; all are judged on the input, and the earliest stays. Lines without a character other than spaces are never dropped.
 
 1. Equal lines meet as 128 bits of hash, with the smallest position combined before the shuffle.
-2. A line can have a near one only if it shares the words before or behind the middle with it (one edit leaves one side
-   whole), for the longer one's length. So four hashes a line, counted, tell which lines go on. This drops no pair.
-3. The neighbourhood: for each word of a line, the hashed key of the line without it. A replaced word gives equal keys
-   from both lines at that place; an inserted one a key equal to the whole shorter line's. Keys are XORs of word
-   hashes (with the place; or of words and pairs of neighbours), so all n keys of a line cost n steps, not n^2.
+2. A line can have a near one only if it shares the units before or behind the middle with it (one edit leaves one side
+   whole), for the longer one's length. So four hashes a line tell which lines go on: those of which a half occurs in two different
+   lines. This drops no pair.
+3. The neighbourhood: for each unit of a line, the hashed key of the line without it. A replaced unit gives equal keys
+   from both lines at that place; an inserted one a key equal to the whole shorter line's. Keys come from sums of unit
+   hashes (with the place; or of units and pairs of neighbours), so all n keys of a line cost n steps, not n^2.
 4. Equal keys are joined: each key keeps its earliest line, combined before the shuffle, so a group never makes pairs.
-5. Each line with an earlier one is verified by the edit distance of both texts; where that fails (equal keys of
-   different lines), it is tested against all earlier lines of its keys.
+5. Each line with an earlier one is verified by the edit distance of both texts. Lines with equal keys that aren't near (the same units and
+   pairs in another order) are few: the lines of their keys meet once more by a digest of the exact remaining text, again with the
+   earliest of each, so here too no pairs are made.
 
-Null texts count as empty. Rows that repeat an id and its text are one and keep the same lines. Other columns stay.
+Null texts count as empty. Rows that repeat an id and its text are one and keep the same lines; of equal ids with different texts the one with
+the smaller hash is earlier; null ids come first. A very long line costs a key for each of its units, a very long text nothing beyond its
+lines. An empty table gives an empty result. Other columns stay; n_lines and n_removed replace columns of these names.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import staged, table, text_or_empty
+from corpusmith.llm.common import in_order, staged, table, text_or_empty
 
-MIN_WORDS = 8
+MIN_WORDS, MIN_CHARS = 8, 12
+_MASK = (1 << 61) - 1
 
 
 def _split(text: Column) -> Column:
@@ -33,39 +38,69 @@ def _split(text: Column) -> Column:
 
 
 def _halves() -> Column:
-    """Of line s with n words: the words before and behind the middle, for a longer line of n or n + 1 words, hashed."""
-    keys = []
-    for m in (F.col("n"), F.col("n") + 1):
-        head = F.floor((m - 1) / 2).cast("int")
-        keys += [F.xxhash64(m, F.lit(0), F.call_function("substring_index", F.col("s"), F.lit(" "), head)), F.xxhash64(m, F.lit(1), F.call_function("substring_index", F.col("s"), F.lit(" "), head - m + 1))]
-    return F.when(F.col("n") >= MIN_WORDS, F.array(*keys))
+    """Of line s with n units: the units before and behind the middle, for a longer line of n or n + 1 units, hashed."""
+
+    def keys(n: Column, head_of, tail_of, kind: int) -> Column:
+        out = []
+        for m in (n, n + 1):
+            head = F.floor((m - 1) / 2).cast("int")
+            out += [F.xxhash64(m, F.lit(kind), head_of(head)), F.xxhash64(m, F.lit(kind + 1), tail_of(m - 1 - head))]
+        return F.array(*out)
+
+    words = keys(F.col("n"), lambda k: F.call_function("substring_index", F.col("s"), F.lit(" "), k), lambda k: F.call_function("substring_index", F.col("s"), F.lit(" "), -k), 0)
+    chars = keys(F.length("s"), lambda k: F.left("s", k), lambda k: F.right("s", k), 2)
+    return F.when(F.col("n") >= MIN_WORDS, words).when(F.length("s") >= MIN_CHARS, chars)
+
+
+def units(s: Column) -> Column:
+    """The words of a line, or its characters."""
+    words = F.split(s, " ")
+    return F.when(F.size(words) >= MIN_WORDS, words).otherwise(F.split(s, ""))
 
 
 def _xor(a: Column) -> Column:
     return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
 
 
+def _sum(a: Column) -> Column:
+    """Sum modulo 2^61: unlike under XOR, repeated units don't cancel."""
+    return F.aggregate(a, F.lit(0).cast("long"), lambda x, y: (x + y.bitwiseAND(_MASK)).bitwiseAND(_MASK))
+
+
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, ord, role of lines (ord, words): 0 a word replaced, 1 a word left out, 2 the whole line."""
+    """key, ord, role of lines (ord, chars, words): 0 a unit replaced, 1 a unit left out, 2 the whole line."""
     h = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    h = h.select("ord", "h", F.size("h").alias("n"), F.transform("h", lambda x, i: F.xxhash64(x, i)).alias("g"), F.zip_with("h", F.slice("h", 2, F.size("h")), lambda x, y: F.xxhash64(x, y)).alias("p"))
-    # zip_with pads the last pair with null: it is the pair of the last word and the end
-    h = h.select("ord", "n", "h", "g", "p", _xor(F.col("g")).alias("sg"), _xor(F.col("h")).alias("sh"), _xor(F.col("p")).alias("sp"))
+    h = h.select("ord", "h", F.struct("chars", F.size("h").alias("n")).alias("n"), F.transform("h", lambda x, i: F.xxhash64(x, i)).alias("g"), F.zip_with("h", F.slice("h", 2, F.size("h")), lambda x, y: F.xxhash64(x, y)).alias("p"))
+    # zip_with pads the last pair with null: it is the pair of the last unit and the end
+    h = h.select("ord", "n", "h", "g", "p", _xor(F.col("g")).alias("sg"), _sum(F.col("h")).alias("sh"), _sum(F.col("p")).alias("sp"))
+    zero = F.lit(0).cast("long")
+    low = lambda c: F.coalesce(c, zero).bitwiseAND(_MASK)
 
     def left_out(x: Column, i: Column) -> Column:
         before, after = F.get("h", i - 1), F.get("h", i + 1)
-        new = F.when(i > 0, F.xxhash64(before, after)).otherwise(F.lit(0).cast("long"))
-        gone = F.get("p", i).bitwiseXOR(F.when(i > 0, F.get("p", i - 1)).otherwise(F.lit(0).cast("long")))
-        return F.xxhash64(F.lit(1), F.col("n") - 1, F.col("sh").bitwiseXOR(x), F.col("sp").bitwiseXOR(gone).bitwiseXOR(new))
+        pairs = F.col("sp") - low(F.get("p", i)) - F.when(i > 0, low(F.get("p", i - 1)) - F.xxhash64(before, after).bitwiseAND(_MASK)).otherwise(zero)
+        return F.xxhash64(F.lit(1), F.col("n.chars"), F.col("n.n") - 1, (F.col("sh") - low(x)).bitwiseAND(_MASK), pairs.bitwiseAND(_MASK))
 
     replaced = F.transform("g", lambda x, i: F.struct(F.xxhash64(F.lit(0), F.col("n"), i, F.col("sg").bitwiseXOR(x)).alias("key"), F.lit(0).cast("byte").alias("role")))
     shorter = F.transform("h", lambda x, i: F.struct(left_out(x, i).alias("key"), F.lit(1).cast("byte").alias("role")))
-    whole = F.array(F.struct(F.xxhash64(F.lit(1), F.col("n"), F.col("sh"), F.col("sp")).alias("key"), F.lit(2).cast("byte").alias("role")))
+    whole = F.array(F.struct(F.xxhash64(F.lit(1), F.col("n.chars"), F.col("n.n"), F.col("sh"), F.col("sp")).alias("key"), F.lit(2).cast("byte").alias("role")))
     return h.select("ord", F.explode(F.concat(replaced, shorter, whole)).alias("k")).select("k.key", "ord", "k.role")
 
 
+def _exact_neighbourhood(lines: DataFrame) -> DataFrame:
+    """As `neighbourhood`, with a digest of the exact remaining text as key."""
+    rest = lambda i: F.concat(F.array("chars"), F.slice("words", 1, i), F.slice("words", i + 2, F.size("words")))
+    digest = lambda head, words: F.md5(F.concat_ws("\0", F.concat(F.array(head), words)))
+    text = lambda c: c.cast("string")
+    lines = lines.withColumn("chars", text(F.col("chars")))
+    replaced = F.transform("words", lambda w, i: F.struct(digest(F.concat_ws(" ", F.lit("0"), text(i), text(F.size("words"))), rest(i)).alias("key"), F.lit(0).cast("byte").alias("role")))
+    shorter = F.transform("words", lambda w, i: F.struct(digest(F.lit("1"), rest(i)).alias("key"), F.lit(1).cast("byte").alias("role")))
+    whole = F.array(F.struct(digest(F.lit("1"), F.concat(F.array("chars"), F.col("words"))).alias("key"), F.lit(2).cast("byte").alias("role")))
+    return lines.select("ord", F.explode(F.concat(replaced, shorter, whole)).alias("k")).select("k.key", "ord", "k.role")
+
+
 def one_edit(a: str, b: str) -> Column:
-    """The word arrays a and b are one edit apart at most."""
+    """The arrays a and b are one edit apart at most."""
     same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
     at = F.array_position(same, False).cast("int")  # 1-based; 0 where all agree
     tail = lambda c, i: F.slice(c, i, F.size(c))
@@ -77,56 +112,72 @@ def one_edit(a: str, b: str) -> Column:
     )
 
 
-def _near(survivors: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that have an earlier near one; survivors: ord (by position), h1, h2, words."""
-    keys = neighbourhood(survivors)
+def _met(keys: DataFrame) -> DataFrame:
+    """ord, w: each line with the earliest one that its keys meet, where that is earlier."""
 
     def low(role: int) -> Column:
         return F.min(F.when(F.col("role") == role, F.col("ord"))).alias(f"low{role}")
 
     groups = keys.groupBy("key").agg(low(0), low(1), low(2), F.min("ord").alias("lo"), F.max("ord").alias("hi")).where("lo < hi").select("key", "low0", "low1", "low2")
     partner = F.when(F.col("role") == 0, F.col("low0")).when(F.col("role") == 1, F.col("low2")).otherwise(F.col("low1"))
-    met = keys.join(groups, "key").withColumn("w", partner).where("w < ord").select("ord", "w").distinct()
-    text = survivors.select(F.col("ord"), F.col("words").alias("a"))
-    other = survivors.select(F.col("ord").alias("w"), F.col("words").alias("b"))
-    tried = staged(met.join(text, "ord").join(other, "w").select("ord", one_edit("a", "b").alias("near")).groupBy("ord").agg(F.max("near").alias("near")), "line-verified")
+    return keys.join(groups.hint("merge"), "key").withColumn("w", partner).where("w < ord").select("ord", "w").distinct()
+
+
+def _near(survivors: DataFrame) -> DataFrame:
+    """h1, h2 of the lines that have an earlier near one; survivors: ord (by position), h1, h2, chars, words."""
+    keys = neighbourhood(survivors)
+    text = survivors.select("ord", "chars", F.col("words").alias("a"))
+    other = survivors.select(F.col("ord").alias("w"), F.col("chars").alias("c"), F.col("words").alias("b"))
+    verified = (F.col("chars") == F.col("c")) & one_edit("a", "b")
+    tried = staged(_met(keys).join(text.hint("merge"), "ord").join(other.hint("merge"), "w").select("ord", verified.alias("near")).groupBy("ord").agg(F.max("near").alias("near")), "line-verified")
     near = tried.where("near").select("ord")
     failed = tried.where("NOT near").select("ord")
     if not failed.isEmpty():
-        mine = keys.join(failed, "ord").select("key", F.col("role").alias("r"), F.col("ord"))
-        fits = F.col("role") == F.when(F.col("r") == 0, 0).otherwise(3 - F.col("r"))
-        all_met = mine.join(keys.select("key", "role", F.col("ord").alias("w")), "key").where(fits & (F.col("w") < F.col("ord"))).select("ord", "w").distinct()
-        near = near.unionAll(all_met.join(text, "ord").join(other, "w").where(one_edit("a", "b")).select("ord").distinct())
+        theirs = keys.join(keys.join(failed, "ord", "left_semi").select("key"), "key", "left_semi").select("ord").distinct()
+        again = _met(_exact_neighbourhood(survivors.join(theirs, "ord", "left_semi")))
+        near = near.unionAll(again.select("ord")).distinct()
     return survivors.join(near, "ord").select("h1", "h2")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with repeated and near-repeated lines taken out of text, plus n_lines and n_removed."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    flat = rows.select("_row", "doc_id", text_or_empty().alias("text"))
-    s = F.trim("line")
-    lines = flat.select("_row", "doc_id", F.posexplode(_split(F.col("text"))).alias("line_no", "line")).select("_row", "doc_id", "line_no", s.alias("s")).where("s != ''")
+def _gone_lines(flat: DataFrame) -> DataFrame:
+    """_doc, _gone: numbers of the lines that go; flat: _doc (unique, in order) and text."""
+    lines = flat.select("_doc", F.posexplode(_split(F.col("text"))).alias("line", "s")).select("_doc", "line", F.trim("s").alias("s")).where("s != ''")
     lines = lines.withColumn("n", F.length("s") - F.length(F.replace("s", F.lit(" "), F.lit(""))) + 1)
-    place = F.struct("doc_id", "line_no", F.col("_row").alias("row"))
-    occurrences = staged(lines.select(place.alias("at"), F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), _halves().alias("halves")), "line-occurrences")
-    distinct = staged(occurrences.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.first("halves").alias("halves")), "line-distinct")
-
-    half = distinct.select("h1", "h2", "first", F.explode("halves").alias("k"))
-    shared = half.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    alive = half.join(shared, "k").select("h1", "h2", "first").distinct()
-    wanted = alive.groupBy(F.col("first.row").alias("_row")).agg(F.collect_list(F.struct("first", "h1", "h2")).alias("w"))
-    one = flat.join(wanted, "_row").dropDuplicates(["_row"]).select("w", _split(F.col("text")).alias("ls"))
-    found = one.select(F.inline(F.transform("w", lambda x: F.struct(x.first.alias("first"), x.h1.alias("h1"), x.h2.alias("h2"), F.split(F.trim(F.get("ls", x.first.line_no)), " ").alias("words")))))
-    survivors = staged(found.repartitionByRange("first").sortWithinPartitions("first").withColumn("ord", F.monotonically_increasing_id()), "line-survivors")
-
-    near = _near(survivors).withColumn("near", F.lit(True))
-    verdict = distinct.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    gone = occurrences.select("at", "h1", "h2").join(verdict, ["h1", "h2"]).where("near OR at > first")
-    by_row = gone.groupBy(F.col("at.row").alias("_row")).agg(F.collect_set("at.line_no").alias("_gone"))
-    out = rows.join(by_row, "_row", "left").withColumn("_ls", _split(text_or_empty()))
-    keeps = F.filter("_ls", lambda x, i: ~F.array_contains("_gone", i))
+    halves = _halves()
+    occurrences = staged(lines.select("_doc", "line", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"), halves.alias("halves")), "line-occurrences")
+
+    half = occurrences.select("h1", F.explode("halves").alias("k"))
+    shared = half.groupBy("k").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("k")
+    alive = staged(half.join(shared.hint("merge"), "k").select("h1").distinct(), "line-alive")
+    first = F.min(F.struct("_doc", "line")).alias("first")
+    wanted = occurrences.select("_doc", "line", "h1", "h2").join(alive, "h1", "left_semi").groupBy("h1", "h2").agg(first)
+    wanted = staged(wanted, "line-wanted").repartitionByRange("first").sortWithinPartitions("first").withColumn("ord", F.monotonically_increasing_id())
+    wanted = staged(wanted.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct("ord", F.col("first.line").alias("line"), "h1", "h2")).alias("w")), "line-wanted")
+    one = flat.join(wanted, "_doc").select("w", _split(F.col("text")).alias("ls"))
+    found = one.select(F.inline(F.transform("w", lambda x: F.struct(x.ord.alias("ord"), x.h1.alias("h1"), x.h2.alias("h2"), F.trim(F.get("ls", x.line)).alias("s")))))
+    found = found.select("ord", "h1", "h2", units(F.col("s")).alias("words"), (F.size(F.split("s", " ")) < MIN_WORDS).alias("chars"))
+    near = staged(_near(staged(found, "line-survivors")).withColumn("near", F.lit(True)), "line-near")
+
+    firsts = occurrences.groupBy("h1", "h2").agg(first)
+    verdict = firsts.join(near, ["h1", "h2"], "left")
+    gone = occurrences.select("_doc", "line", "h1", "h2").join(verdict, ["h1", "h2"]).where("near OR struct(_doc, line) > first")
+    return staged(gone.groupBy("_doc").agg(F.collect_list("line").alias("_gone")), "line-gone")
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
+    """docs with repeated and near-repeated lines taken out of text, plus _n_lines and _n_removed."""
+    rows, distinct = in_order(docs)
+    gone = _gone_lines(distinct)
+    out = rows.join(gone.hint("merge"), "_doc", "left").withColumn("_ls", _split(text_or_empty()))
+    keeps = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone")), lambda i: F.get("_ls", i))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(keeps, "\n"))
-    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("_ls").cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("_ls").cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs with repeated and near-repeated lines taken out of text, plus n_lines and n_removed."""
+    done = _deduped(docs)
+    return done.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +186,11 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated lines; a document of which nothing but spaces is left goes, n_chars is counted anew."""
-    done = dedup_lines(docs).where("n_removed = 0 OR trim(text) != ''")
-    return done.select(*[F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    """Texts without their repeated lines; a document of which nothing but spaces is left goes, n_chars is counted anew.
+
+    Empty and null texts stay, like all columns; null and repeated ids as in `dedup_lines`."""
+    done = _deduped(docs).where("_n_removed = 0 OR trim(text) != ''")
+    return done.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 SQL = f"""
@@ -145,10 +198,12 @@ WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
 o AS (SELECT doc_id, i, line, trim(line, ' ') AS s FROM l),
 d AS (SELECT s, min((doc_id, i)) AS f, string_split(s, ' ') AS w FROM o WHERE s <> '' GROUP BY s),
-e AS (SELECT * FROM d WHERE len(w) >= {MIN_WORDS}),
+e AS (
+  SELECT s, f, w, false AS c FROM d WHERE len(w) >= {MIN_WORDS}
+  UNION ALL SELECT s, f, [substr(s, i, 1) FOR i IN range(1, length(s) + 1)], true FROM d WHERE len(w) < {MIN_WORDS} AND length(s) >= {MIN_CHARS}),
 pairs AS (
-  SELECT a.s, a.w AS x, b.w AS y FROM e a JOIN e b ON a.w[1] = b.w[1] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1
-  UNION ALL SELECT a.s, a.w, b.w FROM e a JOIN e b ON a.w[-1] = b.w[-1] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1),
+  SELECT a.s, a.w AS x, b.w AS y FROM e a JOIN e b ON a.c = b.c AND a.w[1] = b.w[1] AND a.w[2] = b.w[2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1
+  UNION ALL SELECT a.s, a.w, b.w FROM e a JOIN e b ON a.c = b.c AND a.w[-1] = b.w[-1] AND a.w[-2] = b.w[-2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1),
 near AS (
   SELECT DISTINCT s FROM pairs WHERE CASE
     WHEN len(x) = len(y) THEN len([1 FOR i IN range(1, len(x) + 1) IF x[i] <> y[i]]) <= 1
