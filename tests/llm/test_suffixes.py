@@ -81,3 +81,20 @@ def test_multikey_order():
 def test_spans():
     pack = suffixes.pack
     assert suffixes.removed_spans(np.array([pack(0, 1), pack(100, 5), pack(300, 2)])) == [(0, 204), (300, 401)]
+
+
+@pytest.mark.parametrize("contexts", [50, 10**9])
+def test_a_passage_that_very_many_share(spark, monkeypatch, contexts):
+    """Its ends stand in as many different spans: dealt to several tasks or to one, the answer is the same."""
+    rng = random.Random(6)
+    make = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    shared = make(180)
+    rows = [(i, make(rng.randint(0, 90)) + shared + make(rng.randint(0, 90)) + (shared if i % 7 == 0 else "")) for i in range(1500)]
+    monkeypatch.setattr(suffixes, "CONTEXTS", contexts)
+    check(spark, rows)
+
+
+def test_the_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: tuple(r)[1:] for r in suffixes.op7_suffix_array(spark, sf).collect()} == brute(rows)
