@@ -7,15 +7,16 @@ nearest list and, as a boundary vector, to others whose centroid is at most (1 +
 Search: a query finds its nearest centroids by best-first search in a graph that links each centroid with near ones, held in memory
 (LISTS centroids at most), and keeps the lists whose centroid is at most (1 + ratio) times as far as the nearest
 one. The ratio is SEARCH_RATIO or more: on a sample of the queries, whose nearest vectors one exact pass over the table finds, it is
-raised until the lists kept hold TARGET of those, so recall holds as tables and lists grow. A list is scanned in blocks of a bounded number of vectors, dealt to tasks by list and block; every block hands on
-its best few for each query, so no task sees an unbounded group and no pairs are written.
+raised until the lists kept hold TARGET of those, so recall holds as tables and lists grow. Lists that hold too few vectors for an answer of k are
+joined by the next nearest. A list is scanned in blocks of a bounded number of vectors and a bounded number of queries, dealt to tasks by list and both
+blocks; every block hands on its best few for each query, so no task sees an unbounded group and no pairs are written.
 
 Equal vectors form one entry with its smallest ids, as many as an answer can need, so a vector that a third of the rows share
 neither fills a list nor an answer. Scores are cosines in double precision on the original vectors; ties go to the smaller id.
 
-Vectors that are null, zero, or hold null or non-finite components take no part, nor do those of another length than most
-(the longer of two equally frequent ones counts). Rows that repeat an id and its vector are one. An empty table
-gives an empty result. Other columns are ignored.
+Vectors that are null, zero, or hold null or non-finite components take no part. Shorter vectors than the longest count as if zeros
+followed, so all others do. Magnitudes don't matter: vectors are scaled by a power of two, which is exact, before they are multiplied.
+Rows that repeat an id and its vector are one. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,19 +32,26 @@ from pyspark.sql import functions as F
 
 from corpusmith.llm.common import small_batches, staged, table
 
-#: Vectors that the lists are fitted on at most, vectors a list should hold, and lists at most.
-SAMPLE, LIST_SIZE, LISTS = 20_000, 200, 4096
+#: Vectors that the lists are fitted on at least, if there are as many, and for each list; vectors a list should hold, and lists at most. Beyond
+#: LIST_SIZE * LISTS vectors the lists grow.
+SAMPLE, SAMPLE_PER_LIST, LIST_SIZE, LISTS = 20_000, 8, 200, 16_384
 REPLICAS, REPLICA_RATIO = 4, 0.3
 SEARCH_RATIO = 0.13
 #: Queries that the ratio is calibrated on at most, and the share of their nearest vectors that the lists kept must hold.
 CALIBRATED, TARGET = 200, 0.97
 #: Neighbours of a centroid in the graph; centroids where each search starts.
 DEGREE, ENTRIES = 24, 8
-#: Vectors of a list that one task scans at a time.
-BLOCK = 4096
+#: Vectors of a list and queries that one task compares at a time.
+BLOCK, ASKED = 4096, 2048
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, so that squares neither vanish nor overflow; cosines stay exactly the same."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -69,8 +77,7 @@ class Centroids:
 
     def __init__(self, c: np.ndarray):
         self.c, self.sq = c, (c**2).sum(1)
-        d = self.sq[:, None] + self.sq[None, :] - 2 * c @ c.T
-        near = np.argsort(d, axis=1, kind="stable")[:, 1 : DEGREE + 1]
+        near = np.concatenate([np.argsort(self.sq[None, :] - 2 * c[i : i + 512] @ c.T, axis=1, kind="stable")[:, 1 : DEGREE + 1] for i in range(0, len(c), 512)])
         links = [set(row) for row in near.tolist()]
         for i, row in enumerate(near.tolist()):
             for j in row[: DEGREE // 2]:
@@ -119,6 +126,15 @@ class Centroids:
         found, ds = np.concatenate(found), np.concatenate(ds)
         return found[ds <= (1 + ratio) * best]
 
+    def enough(self, q: np.ndarray, kept: np.ndarray, sizes: np.ndarray, wanted: int) -> np.ndarray:
+        """The lists kept, and the next nearest ones as long as they hold fewer than `wanted` entries."""
+        if sizes[kept].sum() >= wanted:
+            return kept
+        rest = np.argsort(self.sq - 2 * self.c @ q, kind="stable")
+        rest = rest[~np.isin(rest, kept)]
+        some = np.searchsorted(np.cumsum(sizes[rest]), wanted - sizes[kept].sum()) + 1
+        return np.concatenate([kept, rest[:some]])
+
     def calibrated(self, asked: np.ndarray, of: np.ndarray, near: np.ndarray) -> tuple[float, bool]:
         """ratio and graph for `search`, so that TARGET of the vectors `near` lie in a list kept for the query asked[of] that each is nearest to."""
         if not len(near):
@@ -141,8 +157,8 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull())
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = v.where(F.col("v").isNotNull() & F.forall("v", fine) & F.exists("v", lambda x: x != 0))
-    length = v.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
-    return v.where(F.size("v") == (length.n if length else 0))
+    longest = v.agg(F.max(F.size("v"))).first()[0] or 0
+    return v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("v"))))
 
 
 def true_neighbours(entries: DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -186,10 +202,10 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
     empty = "query_id bigint, rank int, vec_id bigint, score double"
     if n < 1:
         return spark.createDataFrame([], empty)
-    sample = entries.orderBy(F.xxhash64("uid"), "uid").limit(SAMPLE).select("uid", "v").toPandas().sort_values("uid")
     lists = 1
     while lists * 2 * LIST_SIZE <= n and lists < LISTS:
         lists *= 2
+    sample = entries.orderBy(F.xxhash64("uid"), "uid").limit(max(SAMPLE, SAMPLE_PER_LIST * lists)).select("uid", "v").toPandas().sort_values("uid")
     centroids = Centroids(balanced_centroids(unit(np.stack(sample.v.to_numpy())), min(lists, 1 << (len(sample).bit_length() - 1))))
     shared = spark.sparkContext.broadcast(centroids)
     asked = valid.where(queries(F.col("id"))).select("id", "v")
@@ -210,7 +226,7 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
                 u = unit(x)
-                to = [c.search(row, ratio, graph) for row in u] if searched else c.lists_of(u)
+                to = [c.enough(row, c.search(row, ratio, graph), sizes, (k + 1) * REPLICAS) for row in u] if searched else c.lists_of(u)
                 many = np.fromiter(map(len, to), np.int64, len(to))
                 row = np.repeat(np.arange(len(to)), many)
                 at = pa.array(row)
@@ -220,28 +236,33 @@ def nearest(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id", vec
 
     index = entries.select("uid", "v").mapInArrow(place(False), "list int, uid bigint, v array<double>")
     index = staged(index, "ann-index")
-    blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # one row a list
-    probes = wanted.mapInArrow(place(True), "list int, uid bigint, v array<double>")
-    blocks = F.broadcast(blocks)  # LISTS rows at most
-    left = index.join(blocks, "list").select("list", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int").alias("block"), "uid", "v")
-    right = probes.join(blocks, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("uid").alias("q"), "v")
+    held = index.groupBy("list").agg(F.count("*").alias("n")).toPandas()  # one row a list
+    sizes = np.zeros(len(centroids.c), np.int64)
+    sizes[held.list] = held.n
+    probes = staged(wanted.mapInArrow(place(True), "list int, uid bigint, v array<double>"), "ann-probes")
+    pieces = lambda t, size, name: t.groupBy("list").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
+    blocks = F.broadcast(pieces(index, BLOCK, "blocks").join(pieces(probes, ASKED, "parts"), "list"))  # LISTS rows at most
+    piece = lambda id_col, count: F.pmod(F.xxhash64(id_col), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    left = index.join(blocks, "list").select("list", piece("uid", "blocks").alias("block"), every("parts").alias("part"), "uid", "v")
+    right = probes.join(blocks, "list").select("list", every("blocks").alias("block"), piece("uid", "parts").alias("part"), F.col("uid").alias("q"), "v")
 
     def scan(there: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(there) and len(ask):
-            x, ids = np.stack(there.v.to_numpy()), there.uid.to_numpy()
+            x, ids = scaled(np.stack(there.v.to_numpy())), there.uid.to_numpy()
             order = np.argsort(ids, kind="stable")
             x, ids = x[order], ids[order]
             norms = np.linalg.norm(x, axis=1)
             for at in range(0, len(ask), 256):
                 part = ask.iloc[at : at + 256]
-                q = np.stack(part.v.to_numpy())
+                q = scaled(np.stack(part.v.to_numpy()))
                 s = (q @ x.T) / (np.linalg.norm(q, axis=1)[:, None] * norms[None, :])
                 best = np.argsort(-s, axis=1, kind="stable")[:, : k + 1]
                 out.append(pd.DataFrame({"q": np.repeat(part.q.to_numpy(), best.shape[1]), "uid": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()}))
         return pd.concat(out) if out else pd.DataFrame({"q": pd.Series(dtype="int64"), "uid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
 
-    hits = left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInPandas(scan, "q bigint, uid bigint, score double")
+    hits = left.groupBy("list", "block", "part").cogroup(right.groupBy("list", "block", "part")).applyInPandas(scan, "q bigint, uid bigint, score double")
     # The same pair may come from several lists: one of them counts. Of each query k + 1 entries suffice.
     hits = hits.groupBy("q", "uid").agg(F.max("score").alias("score"))
     hits = hits.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "uid"))).where(F.col("r") <= k + 1).drop("r")

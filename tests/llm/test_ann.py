@@ -43,7 +43,7 @@ def test_equal_vectors_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(0)
     one = rng.normal(size=6)
     rows = [(i, one) for i in range(0, 400, 2)] + [(i, rng.normal(size=6)) for i in range(1, 200, 2)]
-    bad = [(1000, None), (1050, np.zeros(6)), (1100, [float("nan")] + [1.0] * 5), (1150, [float("inf")] + [1.0] * 5), (1200, [None] + [1.0] * 5), (1250, [1.0, 2.0])]
+    bad = [(1000, None), (1050, np.zeros(6)), (1100, [float("nan")] + [1.0] * 5), (1150, [float("inf")] + [1.0] * 5), (1200, [None] + [1.0] * 5)]
     out = ann.nearest(frame(spark, rows + bad), lambda i: i % 50 == 0).collect()
     by = {}
     for r in out:
@@ -54,6 +54,32 @@ def test_equal_vectors_ties_and_bad_vectors(spark):
         assert all(s == pytest.approx(1.0) for *_, s in found)
 
 
+def test_any_magnitude_and_length(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=5) * 10.0 ** rng.choice([-300, -200, 0, 150, 300])) for i in range(60)]
+    rows += [(60, [3.0, 4.0]), (61, [1.0]), (62, [5e-324, 0, 0, 0, 0])]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>"), lambda i: i % 10 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    plain = [(i, np.pad(np.asarray(v, float), (0, 5 - len(v))) / np.abs(v).max()) for i, v in rows]
+    want = brute(plain, [i for i, _ in rows if i % 10 == 0])
+    assert {q: [v for _, v, _ in sorted(f)] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
+    for q, found in got.items():
+        assert [s for *_, s in sorted(found)] == pytest.approx([s for _, s in want[q]])
+
+
+def test_lists_too_short_for_an_answer(spark, monkeypatch):
+    """With a vector a list, the lists within the ratio hold fewer than five: the next ones are scanned too."""
+    rng = np.random.default_rng(2)
+    rows = [(i, np.r_[10.0, np.zeros(7)] + rng.normal(size=8) if i % 2 else rng.normal(size=8)) for i in range(300)]
+    for name, v in (("LIST_SIZE", 1), ("TARGET", 0.0), ("SEARCH_RATIO", 0.0), ("ASKED", 2), ("BLOCK", 1)):
+        monkeypatch.setattr(ann, name, v)
+    got = {}
+    for r in ann.nearest(frame(spark, rows), lambda i: i % 50 == 0).collect():
+        got.setdefault(r.query_id, []).append(r["rank"])
+    assert {q: sorted(x) for q, x in got.items()} == {i: [1, 2, 3, 4, 5] for i in range(0, 300, 50)}
+
+
 def test_repeats_few_and_none(spark):
     two = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [0.5, 0.5])]
     assert [(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(frame(spark, two), lambda i: i % 50 == 0).collect()] == [(50, 1, 7)]
