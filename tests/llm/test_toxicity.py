@@ -1,3 +1,4 @@
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -68,9 +69,45 @@ def test_folds(spark):
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(50)}
 
 
+def worst_window(s, text):
+    """The score by its definition: n-grams one by one, words as their means, every window."""
+    words = [w for k, w in enumerate(toxicity._words(text.lower())) if k == 0 or w != toxicity._words(text.lower())[k - 1]]
+    value = lambda w: sum(float(s.values[g]) for g in toxicity.gram_ids([w], len(s.values))[0]) / toxicity.gram_ids([w], len(s.values))[1][0]
+    v = [value(w) for w in words]
+    n = min(toxicity.WINDOW, len(v))
+    top = max(sum(v[i : i + n]) / n for i in range(len(v) - n + 1))
+    return 1 / (1 + math.exp(-(top + s.bias)))
+
+
+def test_scores_by_definition():
+    s = fitted()
+    for _, t, _ in [*corpus(20, seed=3), (0, "vermin " * 40 + "river", 0), (0, "a", 0)]:
+        assert abs(s.score(t) - worst_window(s, t)) < 1e-9
+
+
+def test_no_row_is_scored_by_its_position_or_columns(spark):
+    rows = corpus(60)
+    s = fitted()
+    out = toxicity.with_scores(documents(spark, [(i, t) for i, t, _ in rows], CLASHES), s)
+    assert out.columns.count("score") == 1
+    assert {r.doc_id: r.score for r in out.collect()} == {i: s.score(t) for i, t, _ in rows}
+
+
+def test_null_and_repeated_ids_in_the_stage(spark, tmp_path):
+    rows = corpus()
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = documents(spark, [(i, t) for i, t, _ in rows] + [(None, "river vermin bridge"), (None, "river bridge"), (3, ""), (3, None)], CLASHES)
+    out = toxicity.toxicity_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    texts = [r.text for r in out.collect()]
+    assert "river bridge" in texts and "river vermin bridge" not in texts and "" in texts and None in texts
+
+
 def test_query(spark):
-    d = f"{DATA}/sf0.01"
+    """Held-out recall and precision, which no constant answer reaches."""
+    d = f"{DATA}/sf0.1"
     out = toxicity.op1_toxicity(spark, d)
     assert out.dtypes[:4] == [("doc_id", "bigint"), ("held_out", "boolean"), ("score", "double"), ("predicted", "int")]
     rows = out.join(spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic"), "doc_id").where("held_out").collect()
-    assert sum((r.predicted == r.toxic) for r in rows) / len(rows) > 0.9
+    caught = sum(r.predicted and r.toxic for r in rows)
+    assert caught >= 0.8 * sum(r.toxic for r in rows) and caught >= 0.85 * sum(r.predicted for r in rows)
