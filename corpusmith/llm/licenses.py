@@ -1,6 +1,7 @@
 """License scans: an exact set-similarity join of text blocks with license templates, on native functions alone.
 
-A text block is a line. Blocks and templates are sets of words; a block matches a template when it holds at least
+A text block is a line, or, where it is at most WIDTH characters long, it and up to LINES - 1 lines of 1 to WIDTH characters that follow: notices
+are often wrapped. Blank and longer lines end a block. Blocks and templates are sets of words; a block matches a template when it holds at least
 CONTAINMENT of the template's words. The words of the templates are ordered by their frequency over all blocks of
 all documents, rarest first, ties by the word, and the join runs on that order:
 
@@ -12,8 +13,8 @@ What passes is verified on the full sets, so the join is exact. Words that no te
 overlap and are left out at once. The side of the templates is a parameter of a few hundred words, and the table
 of frequencies has a row for each of them, whatever the size of the corpus; documents are never shuffled.
 
-Null texts count as empty; empty texts have no word, no label and score 0. Repeated rows give repeated rows, other
-columns are ignored, an empty table gives an empty result.
+Null texts count as empty; empty texts have no word, no label and score 0. A very long text costs in proportion to its length. Null ids stay, repeated
+rows give repeated rows, other columns are ignored, an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 from corpusmith.llm.common import table, text_or_empty
 
 CONTAINMENT = 0.9
+#: Characters of a wrapped line at most, and lines of a block.
+WIDTH, LINES = 100, 4
 
 # The phrases whose places are counted, and their labels.
 BASE = [
@@ -66,9 +69,17 @@ def literal(words) -> Column:
 
 
 def blocks_of(text: Column, vocabulary: list[str]) -> Column:
-    """For each line, the words that the vocabulary has too, each once and in the vocabulary's order."""
-    known = literal(vocabulary)
-    return F.transform(F.split(text, "\n"), lambda line: F.array_intersect(known, F.split(F.regexp_replace(line, SEPARATORS, " "), " ")))
+    """For each block, the words that the vocabulary has too, each once and in the vocabulary's order."""
+    known, lines = literal(vocabulary), F.split(text, "\n")
+
+    def following(i: Column, n: int) -> Column:
+        line = F.get(lines, i + n)
+        rest = F.concat(F.lit(" "), line, following(i, n + 1)) if n + 1 < LINES else F.concat(F.lit(" "), line)
+        return F.when(F.length(line).between(1, WIDTH), rest).otherwise("")
+
+    block = lambda line, i: F.when(F.length(line) <= WIDTH, F.concat(line, following(i, 1))).otherwise(line)
+    words = lambda b: F.split(F.regexp_replace(b, SEPARATORS, " "), " ")
+    return F.transform(lines, lambda line, i: F.array_intersect(known, words(block(line, i))))
 
 
 def frequency_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -144,6 +155,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    def following(n: int) -> str:
+        rest = f" || {following(n + 1)}" if n + 1 < LINES else ""
+        return f"CASE WHEN length(ls[i + {n}]) BETWEEN 1 AND {WIDTH} THEN ' ' || ls[i + {n}]{rest} ELSE '' END"
+
     def words(t: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in sorted(word_set(t))) + "]"
 
@@ -160,8 +175,9 @@ places AS (
 hits AS (SELECT r, label, i FROM places WHERE array_to_string(ws[i + 1 : i + n], ' ') = phrase),
 base AS (SELECT r, count(*) AS n_base, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM hits GROUP BY r),
 templates AS (SELECT * FROM (VALUES {values}) AS v(k, label, words)),
-lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
-blocks AS (SELECT r, list_distinct(string_split(regexp_replace(line, {sep}, ' ', 'g'), ' ')) AS ws FROM lines WHERE regexp_matches(line, 'licen[sc]|permi|redistribut|cc|public')),
+lines AS (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d)),
+joined AS (SELECT r, CASE WHEN length(ls[i]) <= {WIDTH} THEN ls[i] || {following(1)} ELSE ls[i] END AS line FROM lines),
+blocks AS (SELECT r, list_distinct(string_split(regexp_replace(line, {sep}, ' ', 'g'), ' ')) AS ws FROM joined),
 own AS (SELECT r, label, len(list_intersect(ws, words)) / len(words) AS share FROM blocks, templates WHERE len(list_intersect(ws, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM own GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, f AS first_word, l AS last_word,
