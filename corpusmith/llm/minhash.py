@@ -1,7 +1,7 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact verification.
 
 A document is the set of its distinct k-word shingles; fewer words than k count whole as one, a document without words has
-an empty set and no links. Documents with equal sets form a class and go on as one node.
+an empty set and no links. Documents with equal sets, by 128 bits of hash, form a class and go on as one node, named by its first document.
 
 Sketch: rounds of hashed bin placement. In each of the first T rounds every shingle falls into one of T bins with a fresh
 hash; in the next T rounds all fall into one bin each, so every coordinate is filled; a coordinate keeps its
@@ -16,7 +16,9 @@ merges. After CENTRE_ROUNDS rounds the members that still share a bucket across
 shingles, which leaves few pairs, each tested once. So components are exact for all pairs that share a band.
 
 Sets are 64-bit hashes of words combined over shingles. Null and empty texts: n_shingles 0, a component of their own.
-Ties go to the smaller id; repeated rows are members of one class. Null ids keep a null component. Other columns are ignored.
+Ties go to the smaller id; repeated rows are members of one class. Rows are told apart by id and text: null ids are ordered before all others, and
+component_id is the id of the first document of the component, so null where that has none. An empty table gives an empty result; a very long
+text costs in proportion to its words. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import small_batches, staged, table, text_or_empty
+from corpusmith.llm.common import in_order, small_batches, staged, table
 from corpusmith.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -97,20 +99,21 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, node (64 bits of the set; null if empty) and the bands of the node."""
+    """_doc, n_shingles, d0 and d1 (128 bits of the set; null if empty) and the bands of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(k)
         for b in batches:
-            n, nodes, found = [], [], []
+            n, digests, found = [], [], []
             for text in b.column(1).to_pylist():
                 s = shingles.of(text)
                 n.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None)
+                digests.append(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None))
                 found.append(bands(sketch(s)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands"])
+            two = [pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *two, pa.array(found, pa.list_(pa.int64()))], ["_doc", "n_shingles", "d0", "d1", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, node bigint, bands array<bigint>")
+    return docs.mapInArrow(run, "_doc bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, similar: tuple[int, int]) -> DataFrame:
@@ -174,20 +177,29 @@ def _could(a: str, b: str, similar: tuple[int, int]):
 
 def near_duplicates(docs: DataFrame, k: int = 2, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
+    rows, distinct = in_order(docs.select("doc_id", "text"))
+    found = linked(distinct, k, similar)
+    out = rows.select("_doc", "doc_id").join(found, "_doc")
+    names = rows.select(F.col("_doc").alias("component"), F.col("doc_id").alias("component_id")).distinct()
+    unique = dict(rows.dtypes)["doc_id"] == "bigint" and rows.where("NOT _doc <=> doc_id").isEmpty()
+    out = out.withColumn("component_id", F.col("component")) if unique else out.join(names, "component")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def linked(docs: DataFrame, k: int, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """_doc, n_shingles, component (the smallest _doc reachable); docs: _doc (unique) and text."""
+    small_batches(docs.sparkSession)
     rows = staged(signatures(docs, k), "signatures")
-    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
+    nodes = rows.where("d0 IS NOT NULL").groupBy("d0", "d1").agg(F.min("_doc").alias("node"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"))
 
     # Members of the buckets with two nodes or more; sizes are counted before the members are shuffled.
-    member = nodes.select("node", "n", "first", F.posexplode("bands").alias("band", "key"))
+    member = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     shared = member.groupBy("band", "key").agg(F.count("*").alias("c")).where("c > 1").drop("c")
     member = staged(member.join(shared, ["band", "key"]), "members")
 
-    # One text for each node in a bucket. A repeated id may have several texts: the sets tell which is the node's.
-    wanted = member.select(F.col("first").alias("doc_id"), "node").distinct()
-    texts = staged(_texts_of(docs, wanted, k), "texts")
+    # One text for each node in a bucket.
+    wanted = member.select(F.col("node").alias("_doc")).distinct()
+    texts = staged(docs.join(wanted, "_doc").select(F.col("_doc").alias("node"), "text"), "texts")
 
     of: DataFrame | None = None  # node -> component, so far
     tested: DataFrame | None = None
@@ -214,32 +226,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, similar: tuple[int, int] = SIMI
         tested = result if tested is None else tested.unionAll(result)
         if counts[1]:
             of = staged(components(tested.where("linked").select("a", "b")), "components")
-    class_of = nodes.select("node", "first")
-    if of is not None:
-        class_of = class_of.join(of, "node", "left").withColumn("c", F.coalesce("component", "node"))
-        smallest = class_of.groupBy("c").agg(F.min("first").alias("component_id"))
-        class_of = class_of.join(smallest, "c").select("node", "component_id")
-    else:
-        class_of = class_of.select("node", F.col("first").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "node").join(class_of, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
-
-
-def _texts_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, text of the wanted nodes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingles(k)
-        for b in batches:
-            keep = pa.array([xxhash.xxh3_64_intdigest(shingles.of(t).tobytes()) - (1 << 63) == node for node, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["node", "text"])
-
-    # A doc_id that is repeated with the same text, or set, gives a node several times: one stays.
-    repeated = wanted.join(docs.groupBy("doc_id").agg(F.count("*").alias("rows")), "doc_id")
-    found = docs.join(repeated, "doc_id").select("node", "text", "rows")
-    once = found.where("rows = 1").select("node", "text")
-    more = found.where("rows > 1").select("node", "text").mapInArrow(run, "node bigint, text string").groupBy("node").agg(F.min("text").alias("text"))
-    return once.unionAll(more)
+    class_of = nodes.select("d0", "d1", "node")
+    class_of = class_of.join(of, "node", "left") if of is not None else class_of.withColumn("component", F.col("node"))
+    class_of = class_of.select("d0", "d1", F.coalesce("component", "node").alias("component"))
+    return rows.select("_doc", "n_shingles", "d0", "d1").join(class_of, ["d0", "d1"], "left").select("_doc", "n_shingles", F.coalesce("component", "_doc").alias("component"))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,11 +239,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, 0.8) stays, that with the smallest id, then hash of the text.
 
-    Rows count by id and text, so repeated ids are told apart; a null id comes after all others. Equal rows are a group; rows without words are none and stay."""
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType)).alias("id"), F.xxhash64("text").alias("h"))
-    keyed = docs.withColumn("_row", row)
-    near = near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text"), k=5).where("kept")
-    kept = near.groupBy(F.col("doc_id").alias("_row")).agg(F.min("n_shingles").alias("_n"))
-    # The join has sorted by the key already.
-    out = keyed.join(kept, "_row").withColumn("_r", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
-    return out.where("_r = 1 OR _n = 0").select(*docs.columns)
+    Rows count by id and text, so repeated ids are told apart; null ids are the first. Equal rows are a group; rows without words are none and stay."""
+    rows, distinct = in_order(docs)
+    found = linked(distinct, 5).where("_doc = component").select("_doc", F.col("n_shingles").alias("_n"))
+    kept = rows.join(found, "_doc")
+    return kept.where("_n > 0").dropDuplicates(["_doc"]).unionAll(kept.where("_n = 0")).select(*docs.columns)

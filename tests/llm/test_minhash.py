@@ -77,6 +77,23 @@ def test_stage_keeps_the_first(spark):
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {1, 2, 9}
 
 
+def test_null_and_repeated_ids_in_the_stage(spark):
+    """Decided by row: a unique text stays whatever its id, a copy goes whatever its id, and equal rows become one."""
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, "unique words of no id"), (4, t), (4, t + " end"), (4, "another text of this id"), (7, "twice the same row"), (7, "twice the same row"), (8, ""), (8, ""), (9, t)]
+    out = minhash.minhash_stage(spark, documents(spark, rows, CLASHES), "")
+    assert out.columns == documents(spark, [], CLASHES).columns
+    got = sorted((r.doc_id or -1, len(r.text or "")) for r in out.collect())
+    texts = [n for i, n in got if i == 4]
+    assert [g for g in got if g[0] != 4] == [(-1, 21), (7, 18), (8, 0), (8, 0)] and len(texts) == 2 and 23 in texts
+
+
+def test_the_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    assert {r.doc_id: tuple(r)[1:] for r in minhash.op8_minhash(spark, sf).collect()} == brute(rows, 2)
+
+
 def test_sketch():
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 62, 400, dtype=np.uint64))
