@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmith.llm import decontaminate
 from tests.llm.helpers import CLASHES, documents
@@ -50,7 +51,7 @@ def test_against_brute_force(spark):
             leak = leak[:k] + (make(1) if rng.random() < 0.7 else []) + leak[k + 1 :]
         body = make(rng.randint(0, 40)) + leak + make(rng.randint(0, 40))
         docs.append((i, ", ".join(body).upper() if i % 3 else " ".join(body)))
-    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(documents(spark, docs, CLASHES[:4]), benchmark(spark, items)).collect()}
+    got = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.similarity) for r in decontaminate.leaks(documents(spark, docs, CLASHES), benchmark(spark, items)).collect()}
     assert got == brute(docs, items)
 
 
@@ -71,9 +72,34 @@ def test_shuffled_when_large(spark, monkeypatch):
 
 def test_simhash(spark):
     h = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(9)]
-    got = spark.createDataFrame([(h,)], "h array<long>").select(decontaminate.simhash("h")).first()[0] % (1 << 64)
-    want = sum(1 << b for b in range(64) if 2 * sum((x % (1 << 64)) >> b & 1 for x in h) > len(h))
-    assert got == want
+    got = spark.createDataFrame([(h,)], "h array<long>").select(decontaminate.simhash(F.col("h"))).first()[0]
+    bits = [8 * i + k for i in range(8) for k in range(4)]
+    assert got == sum(1 << b for b in bits if 2 * sum((x % (1 << 64)) >> b & 1 for x in h) > len(h))
+
+
+def test_windows_are_fingerprinted_at_every_stride(spark):
+    h = [random.Random(i).getrandbits(64) - (1 << 63) for i in range(45)]
+    docs = spark.createDataFrame([(1, h), (2, h[:3])], "_doc long, hs array<long>")
+    for w in (1, *decontaminate.LADDER):
+        got = Counter(r.f for r in decontaminate.windows(docs, [w]).where(F.col("_doc") == 1).collect())
+        step = decontaminate.stride(w)
+        parts = spark.createDataFrame([(h[i : i + w],) for i in range(0, len(h) - w + 1, step)], "h array<long>")
+        want = Counter(r.f for r in parts.select(decontaminate.simhash(F.col("h")).alias("f")).collect())
+        # a window that reaches into the last, cut block is not made; the item's places cover it
+        assert sum((want - got).values()) <= (45 % step > 0) and not got - want, w
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 5])
+def test_all_within_the_radius_are_found(spark, monkeypatch, radius):
+    """The blocks find every pair of fingerprints that differ in up to RADIUS bits, whichever they are."""
+    monkeypatch.setattr(decontaminate, "RADIUS", radius)
+    rng = random.Random(3)
+    h = [rng.getrandbits(63) for _ in range(30)]
+    items = spark.createDataFrame([(1, 1, h)], "_i long, w int, h array<long>")
+    used = [8 * i + k for i in range(8) for k in range(4)]
+    near = [(n, [rng.choice(h) ^ sum(1 << b for b in rng.sample(used, n % 7))]) for n in range(200)]
+    got = {r._doc for r in decontaminate.candidates(spark.createDataFrame(near, "_doc long, hs array<long>"), items).collect()}
+    assert got == {n for n in range(200) if n % 7 <= radius}
 
 
 def test_query(spark):
@@ -93,3 +119,12 @@ def test_documents_shorter_than_the_item(spark):
         if share >= 0.8:
             want[i] = (0, len(w), pytest.approx(share))
     assert got == want and set(want) == {1, 2, 3, 5, 7}
+
+
+def test_repeated_and_null_ids_in_the_stage(spark, tmp_path):
+    item = " ".join(f"w{i}" for i in range(20))
+    benchmark(spark, [(1, item)]).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents(spark, [(None, f"x {item} y"), (None, "clean"), (3, f"{item} z"), (3, "also clean"), (4, ""), (5, None)], CLASHES)
+    out = decontaminate.decontamination_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, "clean"), (3, "also clean"), (4, ""), (5, "")]
