@@ -36,7 +36,7 @@ def leaf_tokens(code: Column, lang: Column) -> Column:
     return _per_program(styles.leaf_tokens, "array<string>")(code, lang)
 
 
-def subtree_sexps(code: Column, lang: Column) -> Column:
+def subtree_digests(code: Column, lang: Column) -> Column:
     return _per_program(flow.subtree_digests, "array<string>")(code, lang)
 
 
@@ -108,7 +108,7 @@ class AstNodes:
 
 
 def register(spark: SparkSession) -> None:
-    """The functions under their names in SQL: ast_nodes, style_counts, syntax_ok, leaf_tokens, subtree_sexps, of (code, lang)."""
+    """The functions under their names in SQL: ast_nodes, style_counts, syntax_ok, leaf_tokens, subtree_digests, of (code, lang)."""
     spark.udtf.register("ast_nodes", AstNodes)
     spark.udf.register("style_counts", _per_program(styles.of_tree, "map<string,int>"))
     spark.udf.register("syntax_ok", _per_program(lambda t: t.errors == 0, "boolean"))

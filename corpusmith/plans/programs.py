@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +208,6 @@ def event_window_stream(spark, d):
     """The events table read as a stream."""
     from corpusmith.streaming import styles
 
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp()}"
+    folder = layout.shared_folder(spark)
     done = styles.drained(styles.event_windows(styles.stream_of(spark, f"{d}/events.parquet")), folder)
     return done.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

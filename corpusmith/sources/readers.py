@@ -5,7 +5,7 @@ Where the order of lines matters, rows carry an explicit `pos`: (file, line) ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.sources.schemas import CLONE, TASKS
@@ -22,9 +22,12 @@ def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and pos of each line. A file is one task, as line numbers need; many files are many tasks."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "\r?\n\\z", "").alias("all"))
-    return whole.select("file", F.posexplode(F.split("all", "\r?\n")).alias("pos", "value"))
+    """file, pos (from 0) and value of each line; large files are read in blocks, each counted once to number the lines of the next."""
+    raw = spark.read.option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", "\r\\z", "").alias("value"))
+    counts = raw.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("size"))  # one row a block
+    before = F.sum("size").over(Window.partitionBy("file").orderBy("block")) - F.col("size")
+    return raw.join(counts.withColumn("before", before), ["file", "block"]).select("file", (F.col("before") + F.col("n") - F.col("first")).alias("pos"), "value")
 
 
 def index(spark: SparkSession, path: str, name: str = "idx") -> DataFrame:
@@ -51,10 +54,14 @@ def directory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parallel(spark: SparkSession, left: str, right: str, names: tuple[str, str] = ("buggy", "fixed")) -> DataFrame:
-    """Two files side by side, by line number; what only one has is left out."""
-    a = lines(spark, left).select("pos", F.trim("value").alias(names[0]))
-    b = lines(spark, right).select("pos", F.trim("value").alias(names[1]))
-    return a.join(b, "pos")
+    """Two files, or the files of two folders in the order of their names, side by side by line number; what only one has is left out."""
+
+    def side(path: str, name: str) -> DataFrame:
+        rows = lines(spark, path)
+        order = rows.groupBy("file").agg(F.lit(1)).select("file", F.row_number().over(Window.orderBy("file")).alias("nth"))  # one row a file
+        return rows.join(order, "file").select("nth", "pos", F.trim("value").alias(name))
+
+    return side(left, names[0]).join(side(right, names[1]), ["nth", "pos"]).drop("nth")
 
 
 def task(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
@@ -92,8 +99,19 @@ def run_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.withColumn("run", F.element_at(F.split("_metadata.file_path", "/"), -2))
 
 
-def file_of(root: str, name: str, split: str, sub_task: str = "") -> str:
-    """Where a task's split lies under root."""
-    folder = "/".join(x for x in (root.rstrip("/"), name, sub_task) if x)
+# The files of a split of each task below its root; two where the sides are in files of their own.
+FILES = {
+    "summarize": ["summarize/{sub}/{split}.jsonl"],
+    "translate": ["translate/{split}.java-cs.txt.java", "translate/{split}.java-cs.txt.cs"],
+    "refine": ["refine/{sub}/{split}.buggy-fixed.buggy", "refine/{sub}/{split}.buggy-fixed.fixed"],
+    "concode": ["concode/{split}.json"],
+    "clone": ["clone/{split}.txt"],
+    "defect": ["{split}.jsonl"],
+}
+
+
+def files_of(root: str, name: str, split: str, sub_task: str = "", files: dict[str, list[str]] = FILES) -> list[str]:
+    """Where the files of a task's split lie; `files` may name those of other tasks. A translation from C# has its sides the other way round."""
     stem = {"dev": "valid", "eval": "valid"}.get(split, split)
-    return f"{folder}/{stem}.jsonl"
+    found = [f"{root.rstrip('/')}/{f.format(split=stem, sub=sub_task)}" for f in files[name]]
+    return found[::-1] if sub_task == "cs-java" else found

@@ -16,6 +16,12 @@ def per_class_text(df: DataFrame, path: str, label: str, text: str, needed: tupl
     df.dropna(subset=[label, text, *needed]).select(label, F.col(text).alias("value")).write.mode("overwrite").partitionBy(label).text(path)
 
 
+def per_row_text(df: DataFrame, path: str, label: str, id_col: str, text: str, needed: tuple[str, ...] = ()) -> None:
+    """A file for each row, in a folder for its class and one for its id, so that line breaks stay; rows with a null are left out."""
+    rows = df.dropna(subset=[label, id_col, text, *needed]).select(label, id_col, F.col(text).alias("value"))
+    rows.write.mode("overwrite").option("lineSep", "\n").partitionBy(label, id_col).text(path)
+
+
 def one_line_text(df: DataFrame, path: str, text: str, id_col: str | None = None) -> None:
     """A text a line, without its own line breaks and tabs, behind its id if one is named."""
     clean = F.regexp_replace(text, "[\n\r\t]+", " ")

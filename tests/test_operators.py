@@ -125,7 +125,9 @@ def test_readers_and_writers(spark, tmp_path):
     assert sorted(tuple(r) for r in readers.segment_map(spark, f"{tmp_path}/s.map").collect()) == [(4, 10, 0), (4, 11, 1)]
     (tmp_path / "pred.txt").write_text("1\ta b\n2\n")
     assert sorted(tuple(r) for r in readers.predictions(spark, f"{tmp_path}/pred.txt", text=True).collect()) == [("1", "a b"), ("2", "")]
-    assert readers.file_of("/x", "clone", "dev") == "/x/clone/valid.jsonl"
+    assert readers.files_of("/x", "clone", "dev") == ["/x/clone/valid.txt"] and readers.files_of("/x/", "defect", "test") == ["/x/test.jsonl"]
+    assert readers.files_of("/x", "refine", "train", "small") == ["/x/refine/small/train.buggy-fixed.buggy", "/x/refine/small/train.buggy-fixed.fixed"]
+    assert readers.files_of("/x", "translate", "dev", "cs-java")[0].endswith("valid.java-cs.txt.cs")
     assert writers.first_changed(rows.withColumn("c", F.col("target") == 0), "idx", "c").first().idx == 8
 
 
@@ -137,3 +139,20 @@ def test_stream_equals_batch(spark, tmp_path):
     stream = styles.drained(styles.style_windows(styles.stream_of(spark, f"{tmp_path}/in")), f"file://{tmp_path}/shared")
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
     assert batch.where("style = '4.2'").count() == 3
+
+
+def test_lines_of_large_and_several_files(spark, tmp_path):
+    """Files are read in blocks; the numbers of lines go on from block to block, and files of two folders belong together by name."""
+    for side in "ab":
+        (tmp_path / side).mkdir()
+        for n in range(3):
+            (tmp_path / side / f"f{n}.txt").write_text("".join(f"{side}{n}.{k}\r\n" if k % 2 else f"{side}{n}.{k}\n" for k in range(400)) + ("" if n else "last"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500")
+    try:
+        found = readers.lines(spark, f"{tmp_path}/a").collect()
+        assert sorted((r.file[-6:-4], r.pos, r.value) for r in found) == sorted([(f"f{n}", k, f"a{n}.{k}") for n in range(3) for k in range(400)] + [("f0", 400, "last")])
+        both = readers.parallel(spark, f"{tmp_path}/a", f"{tmp_path}/b").collect()
+        assert len(both) == 1201 and all(r.buggy[1:] == r.fixed[1:] or r.buggy == "last" for r in both)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
