@@ -27,12 +27,14 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is set, a temporary one on a local master, else an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster, intermediate tables need a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmith-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -50,10 +52,10 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def in_order(docs: DataFrame, nulls_last: bool = False) -> tuple[DataFrame, DataFrame]:
     """docs with _doc, a long in the order of doc_id; and _doc with text (null: empty), once for each _doc.
 
-    Where ids are unique they are _doc themselves. Else the distinct (id, text) are numbered: null ids first, then by id, then by a
+    Where ids are unique they are _doc themselves. Else the distinct (id, text) are numbered: null ids first (or last), then by id, then by a
     hash of the text; so rows that repeat an id and its text have one number, and rows with equal ids and different texts have several."""
     text = F.col("text").cast("string")
     ids = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
@@ -61,7 +63,9 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = docs.withColumn("_doc", F.col("doc_id").cast("long"))
         return rows, rows.select("_doc", text_or_empty().alias("text"))
     keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
-    names = keyed.select("_key").distinct().repartitionByRange("_key").sortWithinPartitions("_key").select("_key", F.monotonically_increasing_id().alias("_doc"))
+    first = F.col("_key.doc_id")
+    order = [first.asc_nulls_last() if nulls_last else first.asc_nulls_first(), F.col("_key.a"), F.col("_key.b")]
+    names = keyed.select("_key").distinct().repartitionByRange(*order).sortWithinPartitions(*order).select("_key", F.monotonically_increasing_id().alias("_doc"))
     rows = _numbered(keyed, staged(names, "order"))
     return rows, rows.select("_doc", text_or_empty().alias("text")).dropDuplicates(["_doc"])
 

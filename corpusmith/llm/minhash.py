@@ -16,7 +16,7 @@ merges. After CENTRE_ROUNDS rounds the members that still share a bucket across
 shingles, which leaves few pairs, each tested once. So components are exact for all pairs that share a band.
 
 Sets are 64-bit hashes of words combined over shingles. Null and empty texts: n_shingles 0, a component of their own.
-Ties go to the smaller id; repeated rows are members of one class. Rows are told apart by id and text: null ids are ordered before all others, and
+Ties go to the smaller id; repeated rows are members of one class. Rows are told apart by id and text: null ids are ordered behind all others, and
 component_id is the id of the first document of the component, so null where that has none. An empty table gives an empty result; a very long
 text costs in proportion to its words. Other columns are ignored.
 """
@@ -177,7 +177,7 @@ def _could(a: str, b: str, similar: tuple[int, int]):
 
 def near_duplicates(docs: DataFrame, k: int = 2, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    rows, distinct = in_order(docs.select("doc_id", "text"))
+    rows, distinct = in_order(docs.select("doc_id", "text"), nulls_last=True)
     found = linked(distinct, k, similar)
     out = rows.select("_doc", "doc_id").join(found, "_doc")
     names = rows.select(F.col("_doc").alias("component"), F.col("doc_id").alias("component_id")).distinct()
@@ -239,8 +239,8 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates (five-word shingles, 0.8) stays, that with the smallest id, then hash of the text.
 
-    Rows count by id and text, so repeated ids are told apart; null ids are the first. Equal rows are a group; rows without words are none and stay."""
-    rows, distinct = in_order(docs)
+    Rows count by id and text, so repeated ids are told apart; null ids come last. Equal rows are a group; rows without words are none and stay."""
+    rows, distinct = in_order(docs, nulls_last=True)
     found = linked(distinct, 5).where("_doc = component").select("_doc", F.col("n_shingles").alias("_n"))
     kept = rows.join(found, "_doc")
     return kept.where("_n > 0").dropDuplicates(["_doc"]).unionAll(kept.where("_n = 0")).select(*docs.columns)
