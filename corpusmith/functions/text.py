@@ -128,3 +128,8 @@ def prefixed(task: str, sub_task: str, c: Column) -> Column:
 
 def safe_eos(c: Column) -> Column:
     return F.replace(c, F.lit("</s>"), F.lit("<unk>"))
+
+
+def line_breaks(c: Column, token: str = "NEW_LINE") -> Column:
+    """Line breaks where a text has a token in their place."""
+    return F.replace(c, F.lit(token), F.lit("\n"))

@@ -82,6 +82,13 @@ def join_predictions(gold: DataFrame, pred: DataFrame, key: str = "id") -> DataF
     return j.withColumn("_p", need).where("_p = 1").drop("_p")
 
 
+def golds_of(gold: DataFrame, pred: DataFrame, key: str = "id", text: str = "text", order: str = "ref_no") -> DataFrame:
+    """pred with all gold texts of its key as the array `golds`, in their order; golds of keys without a prediction are left out, and so are
+    predictions without a gold."""
+    listed = gold.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_g"))
+    return pred.join(listed, key).withColumn("golds", F.col(f"_g.{text}")).drop("_g")
+
+
 def gold_without_prediction(gold: DataFrame, pred: DataFrame, key: str = "id") -> DataFrame:
     return gold.join(pred.select(key), key, "left_anti")
 

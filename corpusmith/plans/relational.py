@@ -271,6 +271,22 @@ def gold_without_pred(spark, d):
     return metrics.gold_without_prediction(table(spark, d, "documents").select(F.col("doc_id").alias("id")), predictions(spark, d))
 
 
+@query("SELECT doc_id, md5(replace(replace(text, chr(10), ' NEW_LINE '), 'NEW_LINE', chr(10))) AS text_md5 FROM documents")
+def line_break_tokens(spark, d):
+    marked = F.replace("text", F.lit("\n"), F.lit(" NEW_LINE "))
+    return table(spark, d, "documents").select("doc_id", F.md5(X.line_breaks(marked)).alias("text_md5"))
+
+
+@query("""SELECT conv_id AS id, count(*) AS n_golds, md5(string_agg(text, chr(30) ORDER BY turn, text)) AS golds_md5
+FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0 AND text IS NOT NULL GROUP BY conv_id""")
+def golds_by_id(spark, d):
+    """All answers of a conversation are golds of its one prediction."""
+    c = table(spark, d, "conversations").where("role = 'assistant' AND text IS NOT NULL").select(F.col("conv_id").alias("id"), F.col("turn").alias("ref_no"), "text")
+    p = c.where("id % 3 != 0").select("id").distinct()
+    found = metrics.golds_of(c, p)
+    return found.select("id", F.size("golds").cast("long").alias("n_golds"), F.md5(F.array_join("golds", "\x1e")).alias("golds_md5"))
+
+
 @query(f"WITH {PREDS} SELECT id, gold, clean AS pred FROM preds")
 def gold_join_pred(spark, d):
     p = predictions(spark, d)
