@@ -13,7 +13,6 @@ from corpusmith.functions.code.parser import PRIMITIVE, RESERVED, Node, Tree, pa
 from corpusmith.functions.code.styles import BLOCKS, BODIES, LOCALS, UPDATES, branches, chain, is_step, self_operation
 
 Edit = tuple[int, int, str]
-PASSES = 12
 NEGATED = {"<": ">=", ">": "<=", "<=": ">", ">=": "<", "==": "!=", "!=": "=="}
 MIRRORED = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
 SIMPLE = ("identifier", "number_literal", "string_literal", "character_literal", "parenthesized_expression", "call_expression", "method_invocation", "invocation_expression", "subscript_expression", "array_access", "element_access_expression", "field_expression", "field_access", "member_access_expression", "true", "false", "null", "this")
@@ -465,21 +464,25 @@ ONE_PASS = {"11.3", "11.4", "12.4", "0.4", "0.5", "0.6", "8.1"}
 
 
 def normalize(code: str, lang: str, styles: list[str]) -> tuple[str, list[bool]]:
-    """code rewritten towards each style in turn, and whether each changed more than white space. 0.0 changes nothing; programs
+    """code rewritten towards each style in turn, until nothing changes any more, and whether each changed more than white space. 0.0 changes nothing; programs
     that don't parse, and styles without a rewrite, stay as they are."""
     changed = []
     for style in styles:
         before = code
-        for _ in range(1 if style in ONE_PASS else PASSES):
-            if style not in RULES:
-                break
+        seen = {code}
+        while style in RULES:
             tree = parse(code, lang)
             if tree.errors:
                 break
             edits = list(RULES[style](tree, style))
             new = apply_edits(code, edits)
-            if new == code or parse(new, lang).errors:
+            if new in seen or parse(new, lang).errors:
                 break
             code = new
+            if style in ONE_PASS:
+                break
+            seen.add(code)
+            if len(seen) > len(before) + 2:  # each pass mends one level at least, and there are fewer levels than characters
+                raise RuntimeError(f"style {style} never settles")
         changed.append(re.sub(r"\s", "", before) != re.sub(r"\s", "", code))
     return code, changed

@@ -172,3 +172,10 @@ def test_audits():
     assert audits.inert_first_statements('class A { int f() { System.out.println("x"); return 1; } }', "java") == 1
     assert audits.inert_first_statements("int f() { if (a > 2) { x(); } }", "c") == 0
     assert audits.suffixed_identifiers("int f(int a_sh) { return a_sh; }", "c", ("_sh",)) == ["a_sh", "a_sh"]
+
+
+def test_rewrites_run_until_they_settle():
+    """Forty levels, of which a pass mends the outermost: no number of passes is too small."""
+    code = c("".join(f"for (int i{k} = 0; i{k} < 9; i{k}++) {{ " for k in range(40)) + "x = 1;" + " }" * 40)
+    new, changed = rewrite.normalize(code, "c", ["11.2"])
+    assert changed == [True] and styles.counts(new, "c")["11.1"] == 0
