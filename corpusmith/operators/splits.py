@@ -33,6 +33,11 @@ def ranked(df: DataFrame, pos: str, name: str = "rank", by: tuple[str, ...] = ()
     return running_sum(df, pos, F.lit(1), name, by)
 
 
+def with_split(df: DataFrame, key: str, index: DataFrame, split: str = "split") -> DataFrame:
+    """df with the split of each row, from an index of all splits (key and split), in one join; a row that several splits name is in each."""
+    return df.join(index.select(key, split).distinct(), key)
+
+
 def split_by_index(df: DataFrame, key: str, index: DataFrame) -> DataFrame:
     """The rows whose key the index lists: a left semi join."""
     return df.join(index.select(key), key, "left_semi")

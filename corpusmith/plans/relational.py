@@ -61,8 +61,7 @@ def split_semi_join(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "n_chars")
     name = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "valid").otherwise("test")
     index = docs.select("doc_id", name.alias("split"))
-    parts = [splits.split_by_index(docs, "doc_id", index.where(F.col("split") == s)).withColumn("split", F.lit(s)) for s in ("train", "valid", "test")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return splits.with_split(docs, "doc_id", index).groupBy("split").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
 @query("SELECT doc_id, quality FROM (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY doc_id) AS r FROM labels) WHERE r <= 100")

@@ -156,3 +156,12 @@ def test_lines_of_large_and_several_files(spark, tmp_path):
         assert len(both) == 1201 and all(r.buggy[1:] == r.fixed[1:] or r.buggy == "last" for r in both)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_splits_in_one_join(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(5)], "k long, t string")
+    index = spark.createDataFrame([(0, "train"), (0, "train"), (1, "test"), (1, "train"), (9, "test"), (None, "test")], "k long, split string")
+    got = sorted((r.split, r.t) for r in splits.with_split(rows, "k", index).collect())
+    assert got == [("test", "t1"), ("train", "t0"), ("train", "t1")]
+    for name in ("train", "test"):
+        assert sorted(r.t for r in splits.split_by_index(rows, "k", index.where(f"split = '{name}'")).collect()) == [t for s, t in got if s == name]
