@@ -71,6 +71,16 @@ def leaves_loop(body: Node, word: str) -> bool:
     return False
 
 
+def captured(body: Node, *moved: Node | None) -> bool:
+    """What is moved into body would find names of body's own instead of those outside."""
+    own = {name for s in (body["body"] or [] if body.type in BLOCKS else []) if s.type in LOCALS for name in names_of(s)}
+    return any(x.text in own for m in moved if m is not None for x in m.walk())
+
+
+def names_of(declaration: Node) -> list[str]:
+    return [d["name"].text if d["name"] else d.text for d in declaration["declarators"] or []]
+
+
 def inner_text(t: Tree, body: Node) -> str:
     """The statements of a body, without the braces around them; behind a // comment the line ends."""
     text = (t.code[body.start + 1 : body.end - 1] if body.type in BLOCKS else t.source(body)).strip()
@@ -112,6 +122,12 @@ def _comparison(t: Tree, to: str) -> Iterator[Edit]:
             yield n.start, n.end, f"!({a} == {b})"
         elif to == "3.4" and op == "==":
             yield n.start, n.end, f"!({a} != {b})"
+        elif t.lang == "c" or _number(n["left"]) or _number(n["right"]):  # == of two objects would compare references
+            # exact for NaN too, which is neither less nor equal
+            if to == "3.3" and op in ("<=", ">="):
+                yield n.start, n.end, f"({a} {op[0]} {b} || {a} == {b})"
+            elif to == "3.4" and op in ("<", ">"):
+                yield n.start, n.end, f"({a} {op}= {b} && {a} != {b})"
 
 
 def _number(n: Node) -> bool:
@@ -195,12 +211,14 @@ def _declare_lines(t: Tree, to: str) -> Iterator[Edit]:
 
 
 def _declare_position(t: Tree, to: str) -> Iterator[Edit]:
-    if to != "8.1":
-        return
+    """8.1 moves declarations without a value to the head of their block, 8.2 to the statement that uses them first."""
     for block in t.root.walk():
         if block.type not in BLOCKS:
             continue
         body = block["body"] or []
+        if to == "8.2":
+            yield from _sunk(t, body)
+            continue
         late = False
         for s in body:
             if s.type not in LOCALS:
@@ -216,6 +234,19 @@ def _declare_position(t: Tree, to: str) -> Iterator[Edit]:
                     break
 
 
+def _sunk(t: Tree, body: list[Node]) -> Iterator[Edit]:
+    if any(has(s, "labeled_statement", "goto_statement", "preproc_directive", "ERROR") for s in body):
+        return
+    for k, s in enumerate(body):
+        names = set(names_of(s)) if s.type in LOCALS else set()
+        if not names or None in names or any(d["value"] is not None or d["dims"] for d in s["declarators"]) or re.search(r"\b(?:static|const|final)\b", t.source(s["type"])):
+            continue
+        first = next((j for j in range(k + 1, len(body)) if any(x.text in names for x in body[j].walk())), None)
+        if first is not None and body[first].type not in LOCALS and any(x.type not in LOCALS for x in body[k + 1 : first]):
+            yield s.start, s.end, ""
+            yield body[first].start, body[first].start, f"{t.source(s)} "
+
+
 def _declare_assign(t: Tree, to: str) -> Iterator[Edit]:
     for block in t.root.walk():
         if block.type not in BLOCKS:
@@ -241,13 +272,16 @@ SLOTS = {"10.0": "abc", "10.1": "obc", "10.2": "aoc", "10.3": "abo", "10.4": "ao
 def _for_slots(t: Tree, to: str) -> Iterator[Edit]:
     keep = SLOTS[to]
     up = parents(t)
+    if to == "10.0":
+        yield from _filled(t, up)
+        return
     for n in t.root.walk():
         if n.type != "for_statement":
             continue
         init, cond, update, body = n["initializer"], n["condition"], n["update"], n["body"]
         move = [x is not None and k == "o" for x, k in zip((init, cond, update), keep, strict=True)]
         above = up.get(id(n))
-        if not any(move) or above is None or above.type not in BLOCKS or move[2] and leaves_loop(body, "continue") or has(n, "ERROR", "preproc_directive"):
+        if not any(move) or above is None or above.type not in BLOCKS or move[2] and (leaves_loop(body, "continue") or captured(body, update)) or has(n, "ERROR", "preproc_directive"):
             continue
         text = lambda x: "" if x is None else t.source(x)
         inside = [f"if ({negation(t, cond)}) break;"] if move[1] else []
@@ -261,32 +295,77 @@ def _for_slots(t: Tree, to: str) -> Iterator[Edit]:
         yield n.start, n.end, loop
 
 
+def _filled(t: Tree, up: dict[int, Node]) -> Iterator[Edit]:
+    """A part of a for that stands outside of its head, one a pass: an assignment right before it, a leading `if (...) break;`, a last step of what the condition reads."""
+    for n in t.root.walk():
+        above = up.get(id(n))
+        if n.type != "for_statement" or above is None or above.type not in BLOCKS or has(n, "ERROR", "preproc_directive"):
+            continue
+        init, cond, update, body = n["initializer"], n["condition"], n["update"], n["body"]
+        text = lambda x: "" if x is None else t.source(x)
+        place = next(k for k, x in enumerate(above["body"]) if x is n)
+        before = above["body"][place - 1] if place else None
+        own = body["body"] or [] if body.type in BLOCKS else []
+        first, last = (own[0], own[-1]) if own else (None, None)
+        if init is None and before is not None and _step_of(before) and not t.code[before.end : n.start].strip():
+            yield before.start, n.end, f"for ({text(before['expression'])}; {text(cond)}; {text(update)}) {t.source(body)}"
+        elif cond is None and first is not None and _breaks_only(first):
+            rest = t.code[body.start + 1 : first.start] + t.code[first.end : body.end]
+            leave = first["condition"]["inner"]
+            stay = leave["argument"] if leave.type == "unary_expression" and leave["op"].text == "!" else None
+            test = t.source(stay["inner"]) if stay is not None and stay.type == "parenthesized_expression" else negation(t, leave)
+            yield n.start, n.end, f"for ({text(init)}; {test}; {text(update)}) {{{rest}"
+        elif update is None and cond is not None and last is not None and _step_of(last) and not leaves_loop(body, "continue") and not captured(body, last):
+            target = last["expression"]["argument"] or last["expression"]["left"]
+            if target.type == "identifier" and any(x.text == target.text for x in cond.walk()):
+                yield n.start, n.end, f"for ({text(init)}; {text(cond)}; {text(last['expression'])}) {t.code[body.start : last.start]}{t.code[last.end : body.end]}"
+
+
+def _step_of(s: Node) -> bool:
+    """s assigns or counts, and does nothing else."""
+    return s.type == "expression_statement" and s["expression"] is not None and s["expression"].type in ("assignment_expression", "update_expression", "prefix_unary_expression", "postfix_unary_expression")
+
+
+def _breaks_only(s: Node) -> bool:
+    if s.type != "if_statement" or s["otherwise"] is not None:
+        return False
+    then = s["then"]
+    return then.type == "break_statement" or then.type in BLOCKS and len(then["body"]) == 1 and then["body"][0].type == "break_statement"
+
+
 def _loop_kind(t: Tree, to: str) -> Iterator[Edit]:
     up = parents(t)
+    always = "1" if t.lang == "c" else "true"
     for n in t.root.walk():
         if n.type not in ("for_statement", "while_statement", "do_statement") or has(n, "ERROR", "preproc_directive"):
             continue
         body, cond = n["body"], n["condition"]
         if to == "11.1" and n.type == "while_statement":
             yield n.start, n.end, f"for (; {t.source(cond['inner'])};) {t.source(body)}"
-        elif to == "11.2" and n.type == "for_statement" and up.get(id(n)) is not None and up[id(n)].type in BLOCKS and not (n["update"] is not None and leaves_loop(body, "continue")):
+        elif to in ("11.1", "11.2") and n.type == "do_statement" and not leaves_loop(body, "continue") and not captured(body, cond) and (to == "11.1" or not leaves_loop(body, "break")):
+            head = "for (;;)" if to == "11.1" else f"while ({always})"
+            yield n.start, n.end, f"{head} {{ {inner_text(t, body)} if ({negation(t, cond['inner'])}) break; }}"
+        elif n.type == "for_statement" and to != "11.1" and not _dangling(up, n) and not (n["update"] is not None and (leaves_loop(body, "continue") or captured(body, n["update"]))):
             parts = [inner_text(t, body) if body.type != "empty_statement" else "", f"{t.source(n['update'])};" if n["update"] is not None else ""]
-            always = "1" if t.lang == "c" else "true"
-            loop = f"while ({t.source(cond) if cond is not None else always}) {{ {' '.join(p for p in parts if p)} }}"
+            test = t.source(cond) if cond is not None else always
+            if to == "11.3":
+                loop = f"do {{ {' '.join(p for p in parts if p)} }} while ({test});"
+                loop = loop if cond is None else f"if ({test}) {loop}"
+            else:
+                if to in ("11.4", "12.4") and cond is not None:
+                    parts.insert(0, f"if ({negation(t, cond)}) break;")
+                    test = always
+                loop = f"while ({test}) {{ {' '.join(p for p in parts if p)} }}"
             init = n["initializer"]
             yield n.start, n.end, loop if init is None else f"{{ {t.source(init)}; {loop} }}" if init.type in LOCALS else f"{t.source(init)};\n{indent_at(t.code, n.start)}{loop}"
-        elif to == "11.2" and n.type == "do_statement" and not leaves_loop(body, "break") and not leaves_loop(body, "continue"):
-            flag = "1" if t.lang == "c" else "true"
-            yield n.start, n.end, f"while ({flag}) {{ {inner_text(t, body)} if ({negation(t, cond['inner'])}) break; }}"
-        elif to == "11.3" and n.type == "while_statement" and pure(cond["inner"]):
-            yield n.start, n.end, f"if ({t.source(cond['inner'])}) do {t.source(body) if body.type in BLOCKS else '{ ' + t.source(body) + ' }'} while ({t.source(cond['inner'])});" if not _dangling(up, n) else t.source(n)
+        elif to == "11.3" and n.type == "while_statement" and not _dangling(up, n):
+            yield n.start, n.end, f"if ({t.source(cond['inner'])}) do {t.source(body) if body.type in BLOCKS else '{ ' + t.source(body) + ' }'} while ({t.source(cond['inner'])});"
         elif to in ("11.4", "12.4") and n.type == "while_statement" and not re.fullmatch(r"\(\s*(?:1|true)\s*\)", t.source(cond)):
-            flag = "1" if t.lang == "c" else "true"
-            yield n.start, n.end, f"while ({flag}) {{ if ({negation(t, cond['inner'])}) break; {inner_text(t, body) if body.type != 'empty_statement' else ''} }}"
+            yield n.start, n.end, f"while ({always}) {{ if ({negation(t, cond['inner'])}) break; {inner_text(t, body) if body.type != 'empty_statement' else ''} }}"
 
 
 def _dangling(up: dict[int, Node], n: Node) -> bool:
-    """An else behind n would be caught by an if that begins at n."""
+    """n isn't a statement of a block: an else behind it would be caught by an if that begins at n, and there is no room for a second statement."""
     above = up.get(id(n))
     return above is None or above.type not in BLOCKS
 
@@ -450,7 +529,7 @@ RULES: dict[str, Callable[[Tree, str], Iterator[Edit]]] = {
     **dict.fromkeys(("5.1", "5.2"), _heap),
     **dict.fromkeys(("6.1", "6.2"), _array_access),
     **dict.fromkeys(("7.1", "7.2"), _declare_lines),
-    **dict.fromkeys(("8.1",), _declare_position),
+    **dict.fromkeys(("8.1", "8.2"), _declare_position),
     **dict.fromkeys(("9.1", "9.2"), _declare_assign),
     **dict.fromkeys(SLOTS, _for_slots),
     **dict.fromkeys(("11.1", "11.2", "11.3", "11.4", "12.4"), _loop_kind),
@@ -460,7 +539,7 @@ RULES: dict[str, Callable[[Tree, str], Iterator[Edit]]] = {
     **dict.fromkeys(("18.1",), _else),
 }
 #: Styles that another pass would change again.
-ONE_PASS = {"11.3", "11.4", "12.4", "0.4", "0.5", "0.6", "8.1"}
+ONE_PASS = {"0.4", "0.5", "0.6", "8.1"}
 
 
 def normalize(code: str, lang: str, styles: list[str]) -> tuple[str, list[bool]]:

@@ -19,6 +19,8 @@ STYLES = {
     "0.4": "identifiers that begin with their type",
     "0.5": "identifiers that begin with _",
     "0.6": "identifiers that begin with $",
+    "upper": "identifiers in upper case",
+    "lower": "identifiers in lower case",
     "1.1": "single statements without braces",
     "1.2": "single statements in braces",
     "2.1": "a = a + b",
@@ -53,6 +55,7 @@ STYLES = {
     "11.2": "while loops",
     "11.3": "do-while loops",
     "11.4": "while (true)",
+    "12.4": "while (true), as 11.4",
     "13.1": "goto",
     "13.2": "break in loops",
     "14.1": "conditions without a leading !",
@@ -120,6 +123,8 @@ def of_tree(tree: Tree) -> dict[str, int]:
         if t == "identifier":
             for style, pattern in CASES:
                 c[style] += pattern.fullmatch(n.text) is not None
+            c["upper"] += n.text.isupper()
+            c["lower"] += n.text.islower()
             if n.text in types and n.text.lower().startswith(types[n.text]) and len(n.text) > len(types[n.text]):
                 c["0.4"] += 1
         for b in branches(n):
@@ -198,6 +203,7 @@ def of_tree(tree: Tree) -> dict[str, int]:
             elif cond.type == "binary_expression" and cond["op"].text == "&&":
                 c["17.1"] += 1
             c["18.2" if n["otherwise"] is not None else "18.1"] += 1
+    c["12.4"] = c["11.4"]
     c["13.2"] = _breaks(loops)
     return {s: int(c[s]) for s in STYLES}
 

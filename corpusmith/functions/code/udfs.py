@@ -66,14 +66,15 @@ def strip_comments(code: Column, lang: Column) -> Column:
     return F.pandas_udf(run, "string")(code, lang)
 
 
-def normalize_style(code: Column, lang: Column, wanted: list[str]) -> Column:
-    """struct of the rewritten code and, for each style, whether it changed something. Labels are not its business."""
+def normalize_style(code: Column, lang: Column, wanted: list[str] | Column) -> Column:
+    """struct of the rewritten code and, for each style, whether it changed something; styles may also come from an array column. Labels are not its business."""
+    styles_of = wanted if isinstance(wanted, Column) else F.array(*[F.lit(w) for w in wanted])
 
-    def run(c: pd.Series, l: pd.Series) -> pd.DataFrame:
-        rows = [(None, None) if x is None or y not in NAMES else rewrite.normalize(x, y, wanted) for x, y in zip(c, l, strict=True)]
+    def run(c: pd.Series, l: pd.Series, w: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if x is None or y not in NAMES else rewrite.normalize(x, y, list(z)) for x, y, z in zip(c, l, w, strict=True)]
         return pd.DataFrame(rows, columns=["code", "changed"])
 
-    return F.pandas_udf(run, "code string, changed array<boolean>")(code, lang)
+    return F.pandas_udf(run, "code string, changed array<boolean>")(code, lang, styles_of)
 
 
 def similarity_stats(hyp: Column, ref: Column, lang: Column) -> Column:

@@ -26,7 +26,15 @@ def after(body: str, style: str, lang: str = "c") -> str:
         ("3.1", "x = a > b;", "x = b < a;"),
         ("3.2", "x = a <= b;", "x = b >= a;"),
         ("3.4", "x = a == b;", "x = !(a != b);"),
-        ("3.4", "x = a > b;", "x = a > b;"),
+        ("3.4", "x = a > b;", "x = (a >= b && a != b);"),
+        ("3.3", "x = a++ <= b;", "x = a++ <= b;"),
+        ("8.2", "int v; v = 4; s += v;", "int v; v = 4; s += v;"),
+        ("8.2", "static int v; s = 1; v = 4;", "static int v; s = 1; v = 4;"),
+        ("10.0", "for (;;) { s++; if (s == 9) break; }", "for (;;) { s++; if (s == 9) break; }"),
+        ("10.0", "for (; i < 9;) { if (s) continue; i++; }", "for (; i < 9;) { if (s) continue; i++; }"),
+        ("11.1", "do { if (s) continue; s++; } while (s < 9);", "do { if (s) continue; s++; } while (s < 9);"),
+        ("11.2", "for (int k = 0; k < 3; k++) { int k = 1; }", "for (int k = 0; k < 3; k++) { int k = 1; }"),
+        ("11.3", "if (s) for (; s < 9; s++) x(); else y();", "if (s) for (; s < 9; s++) x(); else y();"),
         ("4.1", "i++;", "++i;"),
         ("4.3", "i++;", "i += 1;"),
         ("4.4", "i--;", "i = i - 1;"),
@@ -58,6 +66,12 @@ def test_nested_comparisons_reach_a_fixpoint():
     assert styles.counts(rewrite.normalize(c("x = (a > b) == (k > d);"), "c", ["3.1"])[0], "c")["3.2"] == 0
 
 
+def test_objects_are_not_compared_by_reference():
+    code = "class A { boolean f(Integer a, Integer b) { return a <= b; } }"
+    assert rewrite.normalize(code, "java", ["3.3"]) == (code, [False])
+    assert rewrite.normalize(code.replace("<= b", "<= 4"), "java", ["3.3"])[0] == code.replace("a <= b", "(a < 4 || a == 4)")
+
+
 def test_rename_is_consistent():
     code = "int f(int myArg) { int other_var = myArg; return other_var + g(myArg); }"
     assert rewrite.normalize(code, "c", ["0.3"])[0] == "int f(int my_arg) { int other_var = my_arg; return other_var + g(my_arg); }"
