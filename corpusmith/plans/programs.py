@@ -182,19 +182,27 @@ def codebleu_rewritten(spark, d):
     return one("c").unionByName(one("java"))
 
 
-@query()
+# Inner nodes, counted by hand: 8 of the frame (10 in Java, with its class), 12 for each w, 4 for each v (5 in Java, whose declarators are nodes), 7 of a
+# while and 5 of an if. After the rewrite of `s = s - 1` its expression, assignment, statement, block and loop differ, and all nodes around them.
+@query(f"""WITH c AS (SELECT p_partkey % 2 AS java, {_SIZES} FROM part), n AS (SELECT *, 8 + 2 * java + 12 * k + (4 + java) * v + 7 * w + 5 * e AS total FROM c)
+SELECT CASE WHEN java = 0 THEN 'c' ELSE 'java' END AS lang, sum(total - w * (8 + 2 * java)) / sum(total)::DOUBLE AS syntax_match FROM n GROUP BY java""")
 def syntax_match(spark, d):
     p = _against_rewritten(spark, d, "2.2").withColumn("m", udfs.similarity_stats(F.col("hyp"), F.col("code"), F.col("lang")))
     return p.groupBy("lang").agg((F.sum("m.syntax_hit") / F.sum("m.syntax_all")).alias("syntax_match"))
 
 
-@query()
+# Edges as in dataflow_edges. `i += 1` comes from 1 instead of i; `s -= 1` no longer reads s, which costs that reading and the write from it.
+@query(f"""WITH c AS (SELECT p_partkey % 2 AS java, {_SIZES} FROM part), n AS (SELECT *, 8 * k + 2 * v + 4 * w + e + 2 AS total FROM c)
+SELECT CASE WHEN java = 0 THEN 'c' ELSE 'java' END AS lang, sum(total - k - 2 * w) / sum(total)::DOUBLE AS dataflow_match FROM n GROUP BY java""")
 def dataflow_match(spark, d):
     p = _against_rewritten(spark, d, "4.3").withColumn("m", udfs.similarity_stats(F.col("hyp"), F.col("code"), F.col("lang")))
     return p.groupBy("lang").agg((F.sum("m.flow_hit") / F.sum("m.flow_all")).alias("dataflow_match"))
 
 
-@query()
+# By hand: comesFrom for each w: itself, its number, i, its 0, i in the condition and in the body; for each v its number; for a while s twice and the 1 taken off;
+# s of each if, of the return and as parameter. computedFrom: i and s of each w, each v, s of a while. Numbers that nothing is written from have no edge.
+@query(f"""SELECT p_partkey, 'comesFrom' AS rel, 6 * k + v + 3 * w + e + 2 AS edges, 3 + k + greatest(k, v) AS variables FROM (SELECT p_partkey, {_SIZES} FROM part)
+UNION ALL SELECT p_partkey, 'computedFrom', 2 * k + v + w, 2 + v FROM (SELECT p_partkey, {_SIZES} FROM part)""")
 def dataflow_edges(spark, d):
     e = programs(spark, d).select("p_partkey", F.explode(udfs.dataflow_edges(F.col("code"), F.col("lang"))).alias("e"))
     return e.select("p_partkey", "e.var", "e.rel").groupBy("p_partkey", "rel").agg(F.count("*").alias("edges"), F.countDistinct("var").alias("variables"))
