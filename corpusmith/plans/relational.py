@@ -378,7 +378,18 @@ def bleu_c_plain_tokens(spark, d):
     return bleu.sums(_with_stats(spark, d), bleu.shortest(), ("id",)).select("id", F.round(bleu.bleu_c(), 8).alias("bleu"))
 
 
-@query()
+_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"
+_SPLIT = f"array_to_string(regexp_extract_all(lower(trim(text, ' ')), '[{_WORD}]+|[^\\s\\p{{Z}}{_WORD}]'), ' ')"
+_PLAIN = "' ' || replace(replace(replace(replace(replace(replace(replace(s, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&gt;', '>'), '&lt;', '<'), '&amp;', '&') || ' '"
+_MTEVAL = f"lower({_PLAIN})"
+for _pattern, _to in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+    _MTEVAL = f"regexp_replace({_MTEVAL}, '{_pattern}', '{_to}', 'g')"
+_MOSES = f"gp AS (SELECT id, lang, {TOK.format(_MTEVAL)} AS gold FROM (SELECT doc_id AS id, lang, {_SPLIT} AS s FROM documents))"
+
+
+@query(f"""WITH {GRAMS.replace(TEXTS.split(chr(10))[0].rstrip(","), _MOSES)},
+each AS (SELECT id, lang, exp(avg(ln(h + CASE WHEN n > 1 THEN 1 ELSE 2.2250738585072014e-308 END) - ln(g + CASE WHEN n > 1 THEN 1 ELSE 2.2250738585072014e-308 END)) + least(0, 1 - (max(rl) + 1) / (max(hl) + 1))) AS b FROM row_stats GROUP BY id, lang)
+SELECT lang, round(100 * avg(b), 6) AS bleu FROM each GROUP BY lang""")
 def bleu_c_moses(spark, d):
     """The mean of ids by language, on text that the mteval rules normalize."""
     docs = layout.spread(documents(spark, d, "lang")).select(F.col("doc_id").alias("id"), "lang", X.split_punctuation(F.lower(F.trim("text"))).alias("t"))
