@@ -7,6 +7,7 @@ from corpusmith.llm.ann import op3_ann
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
 from corpusmith.llm.minhash import op8_minhash
+from corpusmith.llm.packing import op13_packing
 from corpusmith.llm.suffixes import op7_suffix_array
 from corpusmith.llm.toxicity import op1_toxicity
 
@@ -21,6 +22,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash,
     "op9_benchmark_decontamination": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
+    "op13_packing": op13_packing,
 }
 
 ORACLES: dict[str, str] = {
