@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from corpusmith.llm import decontaminate, licenses, lines, warc
+from corpusmith.llm import decontaminate, licenses, lines, variants, warc
+from corpusmith.llm.alignment import op11_alignment
 from corpusmith.llm.ann import op3_ann
 from corpusmith.llm.bpe import op5_bpe
 from corpusmith.llm.html import op4_html
@@ -22,6 +23,8 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash,
     "op9_benchmark_decontamination": decontaminate.op9_decontaminate,
     "op10_warc": warc.op10_warc,
+    "op11_cross_tokenizer_alignment": op11_alignment,
+    "op12_spelling_variants": variants.op12_variants,
     "op13_packing": op13_packing,
 }
 
@@ -30,4 +33,5 @@ ORACLES: dict[str, str] = {
     "op6_license_scans": licenses.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
     "op10_warc": warc.SQL,
+    "op12_spelling_variants": variants.SQL,
 }
