@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,3 +24,25 @@ def shared_folder(spark: SparkSession) -> str:
     if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir is not set: on a cluster, written tables need a folder that driver and executors share")
     return f"file://{tempfile.mkdtemp(prefix='corpusmith-')}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: what a plan reads twice, or must not decide twice. The folder goes when the
+    application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/corpusmith/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -1,7 +1,7 @@
 """Splits, samples, ordered limits and joins that prepare a corpus.
 
-"In order" always means by an explicit integer position. Ranks and running sums over a whole table never put the table into one
-window: rows are ranked within blocks of positions, and only one row a block is summed up across blocks.
+"In order" always means by an explicit position. Ranks and running sums over a whole table never put the table into one window: a prefix scan of two
+levels cuts it into ranges of about as many rows each, whatever the positions are, and sums up one row a range across ranges.
 """
 
 from __future__ import annotations
@@ -11,26 +11,43 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Positions in a block.
-BLOCK = 1 << 16
-
-
-def running_sum(df: DataFrame, pos: str, value: Column, name: str, by: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
-    """df with the sum of value over the rows up to and with this one, in the order of pos (integers; unique within by)."""
-    df = df.withColumn("_v", value).withColumn("_b", F.floor(F.col(pos) / block))
-    totals = df.groupBy(*by, "_b").agg(F.sum("_v").alias("_t"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_e", F.coalesce(F.sum("_t").over(earlier), F.lit(0))).drop("_t")
-    within = Window.partitionBy(*by, "_b").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
-    keys = (*by, "_b")
-    totals = totals.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
-    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])  # null keys join too
-    joined = df.withColumn("_w", F.sum("_v").over(within)).join(totals, on)
-    return joined.select(*[c for c in df.columns if c not in ("_v", "_b")], (F.col("_w") + F.col("_e")).alias(name))
-
-
-def ranked(df: DataFrame, pos: str, name: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
-    return running_sum(df, pos, F.lit(1), name, by)
+from corpusmith.operators import layout, sampling
+
+#: Rows that one task ranks.
+RANGE = 1 << 20
+
+
+def running_sum(df: DataFrame, pos: str, value: Column, name: str, by: tuple[str, ...] = (), rows: int = RANGE) -> DataFrame:
+    """df with the sum of value over the rows up to and with this one, in the order of pos within by.
+
+    pos may be of any type that has an order, sparse or negative. Rows with equal positions come in the order of a hash of their columns, the same each time; rows with
+    a null position have no place: their sum is null. Null classes are a class. Positions are cut into ranges by sampling, so a task gets about `rows` rows
+    wherever they lie and however large one class is; a range is cut again by the rows' hashes where one position has very many."""
+    v, h, p, t, e, w = layout.fresh(df, "_v", "_h", "_p", "_t", "_e", "_w")
+    hashed = [F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])]
+    keyed = df.withColumns({v: F.when(F.col(pos).isNotNull(), value), h: hashed[0]})
+    order = [F.col(pos).asc_nulls_last(), F.col(h)]
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        window = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return keyed.withColumn(name, F.when(F.col(pos).isNotNull(), F.sum(v).over(window))).drop(v, h)
+    # Written, since ranges are sampled: the two levels must see the same ones.
+    ranged = layout.written(keyed.repartitionByRange(parts, *[F.col(c) for c in by], *order).withColumn(p, F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*by, p).agg(F.sum(v).alias(t))  # a row a range and class
+    earlier = Window.partitionBy(*by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn(e, F.coalesce(F.sum(t).over(earlier), F.lit(0))).drop(t)
+    within = Window.partitionBy(*by, p).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    keys = (*by, p)
+    renamed = layout.fresh(ranged, *[f"_k{i}" for i in range(len(keys))])
+    totals = totals.withColumnsRenamed(dict(zip(keys, renamed, strict=True)))
+    on = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, renamed, strict=True)])  # null classes join too
+    joined = ranged.withColumn(w, F.coalesce(F.sum(v).over(within), F.lit(0))).join(totals, on)
+    return joined.select(*[c for c in df.columns if c != name], F.when(F.col(pos).isNotNull(), F.col(w) + F.col(e)).alias(name))
+
+
+def ranked(df: DataFrame, pos: str, name: str = "rank", by: tuple[str, ...] = (), rows: int = RANGE) -> DataFrame:
+    """df with the rank from 1 of each row in the order of pos within by; null for a row without a position."""
+    return running_sum(df, pos, F.lit(1), name, by, rows)
 
 
 def with_split(df: DataFrame, key: str, index: DataFrame, split: str = "split") -> DataFrame:
@@ -45,22 +62,25 @@ def split_by_index(df: DataFrame, key: str, index: DataFrame) -> DataFrame:
 
 def capped(df: DataFrame, by: tuple[str, ...], pos: str, cap: int) -> DataFrame:
     """The first `cap` rows of each class; rows beyond it are dropped before the shuffle where cap is under Spark's limit."""
-    w = Window.partitionBy(*by).orderBy(pos)
+    (r,) = layout.fresh(df, "_r")
     if cap < 1000:
-        return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= cap).drop("_r")
-    return ranked(df, pos, "_r", by).where(F.col("_r") <= cap).drop("_r")
+        placed = df.where(F.col(pos).isNotNull())
+        return placed.withColumn(r, F.row_number().over(Window.partitionBy(*by).orderBy(pos))).where(F.col(r) <= cap).drop(r)
+    return ranked(df, pos, r, by).where(F.col(r) <= cap).drop(r)
 
 
 def prefix_split(df: DataFrame, pos: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """The first int(share * n) rows, and the rest."""
-    n = df.agg(F.floor(F.count("*") * F.lit(share)).alias("_n"))
-    r = ranked(df, pos, "_r").crossJoin(F.broadcast(n))  # one row
-    return r.where("_r <= _n").drop("_r", "_n"), r.where("_r > _n").drop("_r", "_n")
+    """The first int(share * n) rows, and the rest; rows without a position belong to the rest."""
+    r_, n_ = layout.fresh(df, "_r", "_n")
+    n = df.agg(F.floor(F.count("*") * F.lit(share)).alias(n_))
+    r = ranked(df, pos, r_).crossJoin(F.broadcast(n))  # one row
+    first = F.coalesce(F.col(r_) <= F.col(n_), F.lit(False))
+    return r.where(first).drop(r_, n_), r.where(~first).drop(r_, n_)
 
 
 def hash_sample(df: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """Exactly k rows (all, if fewer), the same ones each time, whatever the partitions."""
-    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(k)
+    return sampling.exact_sample(df, key, k, seed)
 
 
 def hash_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
@@ -113,9 +133,10 @@ def docstring_filter(df: DataFrame, toks: str, text: str, low: int = 5, high: in
 
 
 def budgeted(df: DataFrame, pos: str, success: str, budget: int) -> DataFrame:
-    """Rows that a pass in order tries until `budget` of them have succeeded."""
-    tried = running_sum(df, pos, F.col(success).cast("long"), "_s")
-    return tried.where(F.col("_s") - F.col(success).cast("long") < budget).drop("_s")
+    """Rows that a pass in order tries until `budget` of them have succeeded; a null success is none, a row without a position isn't tried."""
+    (s,) = layout.fresh(df, "_s")
+    won = F.coalesce(F.col(success).cast("long"), F.lit(0))
+    return running_sum(df, pos, won, s).where(F.col(s) - won < budget).drop(s)
 
 
 def experiment_grid(*axes: DataFrame, where: Column | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from corpusmith.streaming import styles
 
 def test_running_sum_over_blocks(spark):
     df = spark.range(1000).select(F.col("id").alias("pos"), (F.col("id") % 3).alias("v"), F.lit(None).cast("int").alias("g"))
-    got = {r.pos: r.s for r in splits.running_sum(df, "pos", F.col("v"), "s", ("g",), block=64).collect()}
+    got = {r.pos: r.s for r in splits.running_sum(df, "pos", F.col("v"), "s", ("g",), rows=64).collect()}
     total = 0
     for i in range(1000):
         total += i % 3
