@@ -115,6 +115,11 @@ def style_label_table(df: DataFrame, style: str, present: Column, label: str) ->
     """For each style the 2 x 2 table of presence and label, the lift of label 1 and chi-square; null where undefined."""
     lab = F.col(label) == 1
     c = df.groupBy(style).agg(F.count_if(present & lab).cast("double").alias("n11"), F.count_if(present & ~lab).cast("double").alias("n10"), F.count_if(~present & lab).cast("double").alias("n01"), F.count_if(~present & ~lab).cast("double").alias("n00"))
+    return association(c)
+
+
+def association(c: DataFrame) -> DataFrame:
+    """c with lift and chi2 of its counts n11, n10, n01 and n00 (presence, label)."""
     n = F.col("n11") + F.col("n10") + F.col("n01") + F.col("n00")
     rows, cols = (F.col("n11") + F.col("n10"), F.col("n01") + F.col("n00")), (F.col("n11") + F.col("n01"), F.col("n10") + F.col("n00"))
     lift = F.try_divide(F.try_divide(F.col("n11"), rows[0]), F.try_divide(cols[0], n))

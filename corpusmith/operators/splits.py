@@ -137,9 +137,3 @@ def budgeted(df: DataFrame, pos: str, success: str, budget: int) -> DataFrame:
     (s,) = layout.fresh(df, "_s")
     won = F.coalesce(F.col(success).cast("long"), F.lit(0))
     return running_sum(df, pos, won, s).where(F.col(s) - won < budget).drop(s)
-
-
-def experiment_grid(*axes: DataFrame, where: Column | None = None) -> DataFrame:
-    """All combinations of small parameter tables that satisfy `where`."""
-    grid = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), axes)
-    return grid if where is None else grid.where(where)

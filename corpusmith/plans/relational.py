@@ -182,14 +182,6 @@ def budgeted_apply(spark, d):
     return splits.budgeted(rows, "doc_id", "ok", 50)
 
 
-@query("""SELECT way, a, b, rate FROM (VALUES ('one'), ('two')) w(way), (VALUES ('4.1'), ('10.7'), ('11.2')) x(a), (VALUES ('4.1'), ('10.7'), ('11.2')) y(b),
-  (VALUES (0.01::DOUBLE), (0.03::DOUBLE), (0.05::DOUBLE)) r(rate) WHERE a <> b""")
-def experiment_grid(spark, d):
-    col = lambda name, kind, *v: spark.createDataFrame([(x,) for x in v], f"{name} {kind}")
-    styles = ("4.1", "10.7", "11.2")
-    return splits.experiment_grid(col("way", "string", "one", "two"), col("a", "string", *styles), col("b", "string", *styles), col("rate", "double", 0.01, 0.03, 0.05), where=F.col("a") != F.col("b"))
-
-
 @query("SELECT doc_id, CASE WHEN quality = 1 THEN 'true' ELSE 'false' END AS label_text, 'defect: x' || doc_id AS source, quality > 0.5 AS hit FROM labels")
 def label_and_prefix(spark, d):
     return table(spark, d, "labels").select("doc_id", X.label_text(F.col("quality")).alias("label_text"), X.safe_eos(X.prefixed("defect", "none", F.concat(F.lit("x"), F.col("doc_id").cast("string")))).alias("source"), (metrics.thresholded(F.col("quality")) == 1).alias("hit"))

@@ -5,7 +5,7 @@ Where the order of lines matters, rows carry an explicit `pos`: (file, line) ord
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.sources.schemas import CLONE, TASKS
@@ -76,6 +76,65 @@ def task(spark: SparkSession, name: str, path: str | list[str]) -> DataFrame:
     return df
 
 
+#: What a text's ends are trimmed of, and what counts as one space inside.
+_ENDS, _SPACE = " \t\n\r\x0b\x0c", "[ \t\n\r\x0b\x0c]+"
+
+
+def examples(spark: SparkSession, name: str, path: str | list[str], limit: int = -1) -> DataFrame:
+    """idx, source and target of a generation task's rows, the first `limit` of them by idx (-1: all).
+
+    concode: nl and code, trimmed. summarize: tokens joined, white space made one space. refine and translate: two paths, whose lines belong together; translate's rows of a
+    JSONL have code1 and code2 instead. defect: func on one line, target as text. idx is the row's own where it has one, else its line's number over all files in
+    the order of their names; rows without one side are left out."""
+    if name in ("refine", "translate") and not isinstance(path, str):
+        sides = numbered(parallel_lines(spark, *path))
+        rows = sides.select("idx", "left", "right")
+    else:
+        raw = numbered(lines(spark, path if isinstance(path, str) else list(path)))
+        schema = {"concode": "nl string, code string", "summarize": "idx bigint, code_tokens array<string>, docstring_tokens array<string>", "defect": "func string, target string, idx bigint", "translate": "code1 string, code2 string", "refine": "buggy string, fixed string"}[name]
+        one = raw.select("idx", F.from_json("value", schema).alias("x"))
+        one = one.select(F.coalesce("x.idx", "idx").alias("idx") if "idx" in schema else "idx", "x")
+        flat = lambda c: F.trim(F.regexp_replace(c, _SPACE, " "))
+        left, right = (F.col(f"x.{f.split()[0]}") for f in schema.removeprefix("idx bigint, ").split(", ")[:2])
+        if name == "summarize":
+            left, right = flat(F.array_join(left, " ")), flat(F.replace(F.array_join(right, " "), F.lit("\n"), F.lit("")))
+        elif name == "defect":
+            left = flat(left)
+        rows = one.select("idx", left.alias("left"), right.alias("right"))
+    trimmed = rows.where("left IS NOT NULL AND right IS NOT NULL").select("idx", F.btrim("left", F.lit(_ENDS)).alias("source"), F.btrim("right", F.lit(_ENDS)).alias("target"))
+    return trimmed if limit == -1 else trimmed.orderBy("idx").limit(limit)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows of lines() with idx, the line's number over all files in the order of their names."""
+    sizes = rows.groupBy("file").agg(F.count("*").alias("n"))  # one row a file
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("file", before.alias("before")), "file").withColumn("idx", F.col("before") + F.col("pos"))
+
+
+def parallel_lines(spark: SparkSession, left: str, right: str) -> DataFrame:
+    """file (the left one), pos, left and right of lines that belong together, by the order of the files' names and the lines' numbers."""
+
+    def side(path: str) -> DataFrame:
+        rows = lines(spark, path)
+        order = rows.groupBy("file").agg(F.lit(1)).select("file", F.row_number().over(Window.orderBy("file")).alias("nth"))  # one row a file
+        return rows.join(order, "file")
+
+    other = side(right).select("nth", "pos", F.col("value").alias("right"))
+    return side(left).withColumnRenamed("value", "left").join(other, ["nth", "pos"]).drop("nth")
+
+
+def eligible(df: DataFrame, label: str, audit: bool = True) -> DataFrame:
+    """The rows whose label is 1 (those that an audit looks at), or 0 (its control); -1 counts as 0, and rows with other labels are in neither."""
+    known = F.when(F.col(label) == -1, 0).otherwise(F.col(label))
+    return df.where(known == (1 if audit else 0))
+
+
+def label_name(label: str) -> Column:
+    """false for 0 and -1, true for 1, null for anything else."""
+    return F.when(F.col(label).isin(0, -1), "false").when(F.col(label) == 1, "true")
+
+
 def clone_from_index(spark: SparkSession, pair_path: str, code_path: str) -> DataFrame:
     """Clone rows from a pair index and a JSONL of url and code."""
     from corpusmith.operators.splits import materialize_pairs
