@@ -1,16 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates, on native functions alone.
 
-A text block is a line, or, where it is at most WIDTH characters long, it and up to LINES - 1 lines of 1 to WIDTH characters that follow: notices
-are often wrapped. Blank and longer lines end a block. Blocks and templates are sets of words; a block matches a template when it holds at least
-CONTAINMENT of the template's words. The words of the templates are ordered by their frequency over all blocks of
-all documents, rarest first, ties by the word, and the join runs on that order:
+A text block is a run of consecutive words, wherever its line breaks, blank lines and comment marks are: notices are wrapped at any width. For a template of m words a
+block has m + max(2, m * SLACK) words (fewer at the text's end), so a notice may have words put in. Blocks and templates are sets of words; a block matches a template when it
+holds at least CONTAINMENT of the template's words. The words of the templates are ordered by the number of documents that have them, rarest first,
+ties by the word, and the join runs on that order:
 
-- length: a block with fewer template words than the overlap needed cannot match;
-- prefix: with n words and an overlap of o needed, a match shares one of the first n - o + 1 of both sides;
-- position: what can still follow the first shared word on either side must suffice for o.
+- prefix: with n words and an overlap of o needed, a match holds one of the n - o + 1 rarest, so blocks are looked for around the places of these words alone;
+- length: the words around such a place, as far as blocks reach, must hold o of the template's words, or no block there can;
+- position: the rarest of those held must leave o - 1 behind it in the template's order.
 
-What passes is verified on the full sets, so the join is exact. Words that no template has cannot count towards an
-overlap and are left out at once. The side of the templates is a parameter of a few hundred words, and the table
+What passes is verified block by block, from each template word that a block with the place can begin with (a block that begins with another word
+holds no more), so the join is exact. The side of the templates is a parameter of a few hundred words, and the table
 of frequencies has a row for each of them, whatever the size of the corpus; documents are never shuffled.
 
 Null texts count as empty; empty texts have no word, no label and score 0. A very long text costs in proportion to its length. Null ids stay, repeated
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from corpusmith.llm.common import table, text_or_empty
 
 CONTAINMENT = 0.9
-#: Characters of a wrapped line at most, and lines of a block.
-WIDTH, LINES = 100, 4
+#: Words that a block may have beyond the template's, as a share of these.
+SLACK = 0.5
 
 # The phrases whose places are counted, and their labels.
 BASE = [
@@ -68,47 +68,48 @@ def literal(words) -> Column:
     return F.array(*[F.lit(w) for w in words])
 
 
-def blocks_of(text: Column, vocabulary: list[str]) -> Column:
-    """For each block, the words that the vocabulary has too, each once and in the vocabulary's order."""
-    known, lines = literal(vocabulary), F.split(text, "\n")
+def block_length(template: str) -> int:
+    m = len([w for w in re.sub(SEPARATORS, " ", template.translate(str.maketrans(UPPER, LOWER))).split(" ") if w])
+    return m + max(2, int(m * SLACK))
 
-    def following(i: Column, n: int) -> Column:
-        line = F.get(lines, i + n)
-        rest = F.concat(F.lit(" "), line, following(i, n + 1)) if n + 1 < LINES else F.concat(F.lit(" "), line)
-        return F.when(F.length(line).between(1, WIDTH), rest).otherwise("")
 
-    block = lambda line, i: F.when(F.length(line) <= WIDTH, F.concat(line, following(i, 1))).otherwise(line)
-    words = lambda b: F.split(F.regexp_replace(b, SEPARATORS, " "), " ")
-    return F.transform(lines, lambda line, i: F.array_intersect(known, words(block(line, i))))
+def words_of(line: Column) -> Column:
+    """The words of words_line(); one empty word where there is none."""
+    return F.split(F.trim(line), " ")
 
 
-def frequency_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
-    """The vocabulary by the number of blocks that hold each word, over all documents."""
-    words = docs.select(F.explode(F.flatten(blocks_of(F.col("_t"), vocabulary))).alias("w"))
+def frequency_order(rows: DataFrame, vocabulary: list[str]) -> list[str]:
+    """The vocabulary by the number of documents that hold each word, over all documents; rows: _t, lower-case texts."""
+    words = rows.select(F.explode(F.array_intersect(literal(vocabulary), words_of(words_line(F.col("_t"))))).alias("w"))
     count = {r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).collect()}  # one row for each template word
     return sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
 
 
-def containments(blocks: Column, templates: list[frozenset[str]], ranked: list[str], threshold: float) -> list[Column]:
-    """For each template the largest share of its words that a block holds, where that reaches the threshold; else null."""
+def containments(ws: str, templates: list[tuple[frozenset[str], int]], ranked: list[str], threshold: float) -> list[Column]:
+    """For each template (its words, the words of a block) the largest share of its words that a block of the column ws holds, where that reaches the threshold; else null."""
     place = {w: i for i, w in enumerate(ranked)}
-    plans = []
-    for t in templates:
+    text = F.col(ws)
+
+    def best(t: frozenset[str], length: int) -> Column:
         words = sorted(t, key=place.get)
-        need = math.ceil(threshold * len(words) - 1e-9)
-        plans.append((words, need, words[: len(words) - need + 1]))
+        n, need = len(words), math.ceil(threshold * len(words) - 1e-9)
+        full, prefix = literal(words), literal(words[: n - need + 1])
+        held = lambda a, m: F.array_intersect(full, F.slice(text, a + 1, m))
+        places = F.filter(F.sequence(F.lit(0), F.size(text) - 1), lambda i: F.array_contains(prefix, F.get(text, i)))
 
-    def best(words, need, prefix) -> Column:
-        full, n = literal(words), len(words)
+        def near(a: Column) -> Column:
+            around = held(F.greatest(a - (length - 1), F.lit(0)), F.lit(2 * length - 1))
+            return (F.size(around) >= need) & (F.array_position(full, F.get(around, F.lit(0))) <= n - need + 1)
 
-        def passes(b):
-            shared = F.get(F.array_intersect(literal(prefix), F.slice(b, 1, F.greatest(F.size(b) - need + 1, F.lit(0)))), F.lit(0))
-            room = F.least(n - F.array_position(full, shared), F.size(b) - F.array_position(b, shared))
-            return (F.size(b) >= need) & F.arrays_overlap(b, literal(prefix)) & (1 + room >= need) & (F.size(F.array_intersect(b, full)) >= need)
+        def largest(a: Column) -> Column:
+            begins = F.filter(F.sequence(F.greatest(a - (length - 1), F.lit(0)), a), lambda s: F.array_contains(full, F.get(text, s)))
+            return F.array_max(F.transform(begins, lambda s: F.size(held(s, F.lit(length)))))
 
-        return F.array_max(F.transform(F.filter(blocks, passes), lambda b: F.size(F.array_intersect(b, full)) / F.lit(float(n))))
+        most = F.array_max(F.transform(F.filter(places, near), largest))
+        return F.when(F.arrays_overlap(text, prefix), F.when(most >= need, most / F.lit(float(n))))
 
-    return [best(*p) for p in plans]
+    # Each share is an expression of its own, and counts its largest block once.
+    return [best(*t) for t in templates]
 
 
 def scan(docs: DataFrame, templates=tuple(TEMPLATES), base=tuple(BASE), threshold: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -118,12 +119,14 @@ def scan(docs: DataFrame, templates=tuple(TEMPLATES), base=tuple(BASE), threshol
     rows = docs.select(F.col(id_col), F.translate(text_or_empty(text_col), UPPER, LOWER).alias("_t"))
     ranked = frequency_order(rows, vocabulary)
     place = {w: i for i, w in enumerate(ranked)}
-    needs = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
-    rare = sorted({w for s, need in zip(sets, needs, strict=True) for w in sorted(s, key=place.get)[: len(s) - need + 1]})
+    needs = [math.ceil(threshold * len(x) - 1e-9) for x in sets]
+    rare = sorted({w for x, need in zip(sets, needs, strict=True) for w in sorted(x, key=place.get)[: len(x) - need + 1]})
 
-    likely = F.filter(blocks_of(F.col("_t"), ranked), lambda b: (F.size(b) >= min(needs)) & F.arrays_overlap(b, literal(rare)))
-    rows = rows.select(id_col, words_line(F.col("_t")).alias("_w"), likely.alias("_b"))
-    rows = rows.select(id_col, "_w", F.array(*containments(F.col("_b"), sets, ranked, threshold)).alias("_c"), *[F.instr("_w", f" {p} ").alias(f"_p{k}") for k, (p, _) in enumerate(base)])
+    rows = rows.select(id_col, words_line(F.col("_t")).alias("_w"))
+    words = words_of(F.col("_w"))
+    rows = rows.select(id_col, "_w", F.when(F.arrays_overlap(words, literal(rare)), words).alias("_b"))
+    lengths = [block_length(t) for _, t in templates]
+    rows = rows.select(id_col, "_w", F.array(*containments("_b", list(zip(sets, lengths, strict=True)), ranked, threshold)).alias("_c"), *[F.instr("_w", f" {p} ").alias(f"_p{k}") for k, (p, _) in enumerate(base)])
 
     def spaces(s: Column) -> Column:
         return F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
@@ -155,14 +158,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    def following(n: int) -> str:
-        rest = f" || {following(n + 1)}" if n + 1 < LINES else ""
-        return f"CASE WHEN length(ls[i + {n}]) BETWEEN 1 AND {WIDTH} THEN ' ' || ls[i + {n}]{rest} ELSE '' END"
-
     def words(t: str) -> str:
         return "[" + ", ".join(f"'{w}'" for w in sorted(word_set(t))) + "]"
 
-    values = ", ".join(f"({k}, '{label}', {words(t)})" for k, (label, t) in enumerate(TEMPLATES))
+    values = ", ".join(f"({k}, '{label}', {words(t)}, {block_length(t)})" for k, (label, t) in enumerate(TEMPLATES))
     sep = r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
     base = ", ".join(f"('{p}', '{label}')" for p, label in BASE)
     return rf"""
@@ -174,11 +173,10 @@ places AS (
   FROM w, b WHERE contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || phrase || ' ')),
 hits AS (SELECT r, label, i FROM places WHERE array_to_string(ws[i + 1 : i + n], ' ') = phrase),
 base AS (SELECT r, count(*) AS n_base, min(i) AS f, max(i) AS l, list(DISTINCT label) AS labels FROM hits GROUP BY r),
-templates AS (SELECT * FROM (VALUES {values}) AS v(k, label, words)),
-lines AS (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT r, string_split(t, chr(10)) AS ls FROM d)),
-joined AS (SELECT r, CASE WHEN length(ls[i]) <= {WIDTH} THEN ls[i] || {following(1)} ELSE ls[i] END AS line FROM lines),
-blocks AS (SELECT r, list_distinct(string_split(regexp_replace(line, {sep}, ' ', 'g'), ' ')) AS ws FROM joined),
-own AS (SELECT r, label, len(list_intersect(ws, words)) / len(words) AS share FROM blocks, templates WHERE len(list_intersect(ws, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
+templates AS (SELECT * FROM (VALUES {values}) AS v(k, label, words, length)),
+whole AS (SELECT r, ws, k, label, words, length FROM w, templates WHERE len(list_intersect(ws, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
+blocks AS (SELECT r, label, words, ws[i : i + length - 1] AS block FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM whole) WHERE list_contains(words, ws[i])),
+own AS (SELECT r, label, len(list_intersect(block, words)) / len(words) AS share FROM blocks WHERE len(list_intersect(block, words)) >= ceil({CONTAINMENT} * len(words) - 1e-9)),
 found AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM own GROUP BY r)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, f AS first_word, l AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
