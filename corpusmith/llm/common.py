@@ -60,13 +60,13 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives a lost executor.
 
     The folder goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/corpusmith/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
@@ -97,5 +97,17 @@ def _numbered(keyed: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.join(named, same).drop("_key", "_name")
 
 
+def slim(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and all other columns in one, `_row`: no name of theirs meets one of a plan's own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*others or [F.lit(0).alias("none")]).alias("_row"))
+
+
+def restored(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs from rows that slim() made, some of them changed."""
+    own = lambda c: F.col(c) if c in ("doc_id", "text") else F.col("_row").getField(c)
+    return df.select(*[changed.get(c, own(c)).alias(c) for c in docs.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -31,7 +31,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import in_order, staged, table, text_or_empty
+from corpusmith.llm.common import in_order, restored, slim, staged, table, text_or_empty
 
 K = 5
 THRESHOLD = (8, 10)
@@ -196,9 +196,9 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text leaks an item go, whatever their id: null and repeated ids are told apart by their texts. Empty and null texts stay."""
-    rows, distinct = in_order(docs)
+    rows, distinct = in_order(slim(docs))
     bad = _leaks(distinct, table(spark, sf_dir, "benchmark")).select("_doc").distinct()
-    return rows.join(bad, "_doc", "left_anti").select(*docs.columns)
+    return restored(rows.join(bad, "_doc", "left_anti"), docs)
 
 
 SQL = f"""

@@ -1,8 +1,9 @@
 """Line dedup by a deletion neighbourhood, on native functions alone.
 
-Two lines are near when one unit inserted, deleted or replaced turns one into the other. The unit is a word (what single spaces
-separate in a trimmed line) for lines of MIN_WORDS words or more, and a character for shorter lines of MIN_CHARS characters or more; lines of
-different units aren't near, and what is shorter still is compared exactly. A line goes when an earlier line, by (doc_id, line
+Two lines are near when one unit inserted, deleted or replaced turns one into the other. The longer line says what the unit is: a word (what single spaces
+separate in a trimmed line) if it has MIN_WORDS words or more, else a character if it has MIN_CHARS characters or more; where it is shorter still,
+only equal lines are near. So each pair has one unit, also across these bounds: a line of MIN_WORDS - 1 words is compared by words with longer lines and
+by characters with others. A line goes when an earlier line, by (doc_id, line
 number), is equal or near; all are judged on the input, and the earliest stays. Lines without a character other than spaces are never dropped.
 
 1. Equal lines meet as 128 bits of hash, with the smallest position combined before the shuffle.
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import in_order, staged, table, text_or_empty
+from corpusmith.llm.common import in_order, restored, slim, staged, table, text_or_empty
 
 MIN_WORDS, MIN_CHARS = 8, 12
 _MASK = (1 << 61) - 1
@@ -47,15 +48,20 @@ def _halves() -> Column:
             out += [F.xxhash64(m, F.lit(kind), head_of(head)), F.xxhash64(m, F.lit(kind + 1), tail_of(m - 1 - head))]
         return F.array(*out)
 
+    none = F.array().cast("array<bigint>")
     words = keys(F.col("n"), lambda k: F.call_function("substring_index", F.col("s"), F.lit(" "), k), lambda k: F.call_function("substring_index", F.col("s"), F.lit(" "), -k), 0)
     chars = keys(F.length("s"), lambda k: F.left("s", k), lambda k: F.right("s", k), 2)
-    return F.when(F.col("n") >= MIN_WORDS, words).when(F.length("s") >= MIN_CHARS, chars)
+    by_word, by_char = F.col("n") >= MIN_WORDS - 1, (F.col("n") < MIN_WORDS) & (F.length("s") >= MIN_CHARS - 1)
+    return F.concat(F.when(by_word, words).otherwise(none), F.when(by_char, chars).otherwise(none))
 
 
 def units(s: Column) -> Column:
-    """The words of a line, or its characters."""
-    words = F.split(s, " ")
-    return F.when(F.size(words) >= MIN_WORDS, words).otherwise(F.split(s, ""))
+    """A line as units: (chars, words, short), once by its words or its characters, or by both. short: only ever the shorter of a pair."""
+    words, chars = F.split(s, " "), F.split(s, "")
+    n, m = F.size(words), F.length(s)
+    by_word = F.when(n >= MIN_WORDS - 1, F.struct(F.lit(False).alias("chars"), words.alias("words"), (n < MIN_WORDS).alias("short")))
+    by_char = F.when((n < MIN_WORDS) & (m >= MIN_CHARS - 1), F.struct(F.lit(True).alias("chars"), chars.alias("words"), (m < MIN_CHARS).alias("short")))
+    return F.array_compact(F.array(by_word, by_char))
 
 
 def _xor(a: Column) -> Column:
@@ -68,11 +74,11 @@ def _sum(a: Column) -> Column:
 
 
 def neighbourhood(lines: DataFrame) -> DataFrame:
-    """key, ord, role of lines (ord, chars, words): 0 a unit replaced, 1 a unit left out, 2 the whole line."""
+    """key, ord, role of lines (ord, chars, words, short): 0 a unit replaced, 1 a unit left out, 2 the whole line, which is all that a short one has."""
     h = lines.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
-    h = h.select("ord", "h", F.struct("chars", F.size("h").alias("n")).alias("n"), F.transform("h", lambda x, i: F.xxhash64(x, i)).alias("g"), F.zip_with("h", F.slice("h", 2, F.size("h")), lambda x, y: F.xxhash64(x, y)).alias("p"))
+    h = h.select("ord", "short", "h", F.struct("chars", F.size("h").alias("n")).alias("n"), F.transform("h", lambda x, i: F.xxhash64(x, i)).alias("g"), F.zip_with("h", F.slice("h", 2, F.size("h")), lambda x, y: F.xxhash64(x, y)).alias("p"))
     # zip_with pads the last pair with null: it is the pair of the last unit and the end
-    h = h.select("ord", "n", "h", "g", "p", _xor(F.col("g")).alias("sg"), _sum(F.col("h")).alias("sh"), _sum(F.col("p")).alias("sp"))
+    h = h.select("ord", "short", "n", "h", "g", "p", _xor(F.col("g")).alias("sg"), _sum(F.col("h")).alias("sh"), _sum(F.col("p")).alias("sp"))
     zero = F.lit(0).cast("long")
     low = lambda c: F.coalesce(c, zero).bitwiseAND(_MASK)
 
@@ -84,7 +90,7 @@ def neighbourhood(lines: DataFrame) -> DataFrame:
     replaced = F.transform("g", lambda x, i: F.struct(F.xxhash64(F.lit(0), F.col("n"), i, F.col("sg").bitwiseXOR(x)).alias("key"), F.lit(0).cast("byte").alias("role")))
     shorter = F.transform("h", lambda x, i: F.struct(left_out(x, i).alias("key"), F.lit(1).cast("byte").alias("role")))
     whole = F.array(F.struct(F.xxhash64(F.lit(1), F.col("n.chars"), F.col("n.n"), F.col("sh"), F.col("sp")).alias("key"), F.lit(2).cast("byte").alias("role")))
-    return h.select("ord", F.explode(F.concat(replaced, shorter, whole)).alias("k")).select("k.key", "ord", "k.role")
+    return h.select("ord", F.explode(F.when(F.col("short"), whole).otherwise(F.concat(replaced, shorter, whole))).alias("k")).select("k.key", "ord", "k.role")
 
 
 def _exact_neighbourhood(lines: DataFrame) -> DataFrame:
@@ -96,7 +102,7 @@ def _exact_neighbourhood(lines: DataFrame) -> DataFrame:
     replaced = F.transform("words", lambda w, i: F.struct(digest(F.concat_ws(" ", F.lit("0"), text(i), text(F.size("words"))), rest(i)).alias("key"), F.lit(0).cast("byte").alias("role")))
     shorter = F.transform("words", lambda w, i: F.struct(digest(F.lit("1"), rest(i)).alias("key"), F.lit(1).cast("byte").alias("role")))
     whole = F.array(F.struct(digest(F.lit("1"), F.concat(F.array("chars"), F.col("words"))).alias("key"), F.lit(2).cast("byte").alias("role")))
-    return lines.select("ord", F.explode(F.concat(replaced, shorter, whole)).alias("k")).select("k.key", "ord", "k.role")
+    return lines.select("ord", F.explode(F.when(F.col("short"), whole).otherwise(F.concat(replaced, shorter, whole))).alias("k")).select("k.key", "ord", "k.role")
 
 
 def one_edit(a: str, b: str) -> Column:
@@ -124,7 +130,7 @@ def _met(keys: DataFrame) -> DataFrame:
 
 
 def _near(survivors: DataFrame) -> DataFrame:
-    """h1, h2 of the lines that have an earlier near one; survivors: ord (by position), h1, h2, chars, words."""
+    """h1, h2 of the lines that have an earlier near one; survivors: ord (by position and unit), h1, h2, chars, words, short."""
     keys = neighbourhood(survivors)
     text = survivors.select("ord", "chars", F.col("words").alias("a"))
     other = survivors.select(F.col("ord").alias("w"), F.col("chars").alias("c"), F.col("words").alias("b"))
@@ -136,7 +142,7 @@ def _near(survivors: DataFrame) -> DataFrame:
         theirs = keys.join(keys.join(failed, "ord", "left_semi").select("key"), "key", "left_semi").select("ord").distinct()
         again = _met(_exact_neighbourhood(survivors.join(theirs, "ord", "left_semi")))
         near = near.unionAll(again.select("ord")).distinct()
-    return survivors.join(near, "ord").select("h1", "h2")
+    return survivors.join(near, "ord").select("h1", "h2").distinct()
 
 
 def _gone_lines(flat: DataFrame) -> DataFrame:
@@ -155,7 +161,7 @@ def _gone_lines(flat: DataFrame) -> DataFrame:
     wanted = staged(wanted.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct("ord", F.col("first.line").alias("line"), "h1", "h2")).alias("w")), "line-wanted")
     one = flat.join(wanted, "_doc").select("w", _split(F.col("text")).alias("ls"))
     found = one.select(F.inline(F.transform("w", lambda x: F.struct(x.ord.alias("ord"), x.h1.alias("h1"), x.h2.alias("h2"), F.trim(F.get("ls", x.line)).alias("s")))))
-    found = found.select("ord", "h1", "h2", units(F.col("s")).alias("words"), (F.size(F.split("s", " ")) < MIN_WORDS).alias("chars"))
+    found = found.select("ord", "h1", "h2", F.explode(units(F.col("s"))).alias("u")).select((F.col("ord") * 2 + F.col("u.chars").cast("long")).alias("ord"), "h1", "h2", "u.*")
     near = staged(_near(staged(found, "line-survivors")).withColumn("near", F.lit(True)), "line-near")
 
     firsts = occurrences.groupBy("h1", "h2").agg(first)
@@ -165,19 +171,20 @@ def _gone_lines(flat: DataFrame) -> DataFrame:
 
 
 def _deduped(docs: DataFrame) -> DataFrame:
-    """docs with repeated and near-repeated lines taken out of text, plus _n_lines and _n_removed."""
-    rows, distinct = in_order(docs)
+    """slim() rows of docs with repeated and near-repeated lines taken out of text, plus _n_lines and _n_removed."""
+    rows, distinct = in_order(slim(docs))
     gone = _gone_lines(distinct)
     out = rows.join(gone.hint("merge"), "_doc", "left").withColumn("_ls", _split(text_or_empty()))
     keeps = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone")), lambda i: F.get("_ls", i))
     kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(keeps, "\n"))
-    return out.select(*[kept.alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size("_ls").cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
+    return out.select("doc_id", kept.alias("text"), "_row", F.size("_ls").cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated and near-repeated lines taken out of text, plus n_lines and n_removed."""
-    done = _deduped(docs)
-    return done.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"))
+    docs = docs.drop("n_lines", "n_removed")
+    done = _deduped(docs.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)}))
+    return restored(done, docs.withColumns({"n_lines": F.lit(0), "n_removed": F.lit(0)}), n_lines=F.col("_n_lines"), n_removed=F.col("_n_removed"))
 
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,7 +197,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Empty and null texts stay, like all columns; null and repeated ids as in `dedup_lines`."""
     done = _deduped(docs).where("_n_removed = 0 OR trim(text) != ''")
-    return done.select(*[F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else c for c in docs.columns])
+    counted = {}
+    if "n_chars" in docs.columns:
+        counted["n_chars"] = F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("_row").getField("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return restored(done, docs, **counted)
 
 
 SQL = f"""
@@ -199,13 +209,13 @@ WITH l AS (
 o AS (SELECT doc_id, i, line, trim(line, ' ') AS s FROM l),
 d AS (SELECT s, min((doc_id, i)) AS f, string_split(s, ' ') AS w FROM o WHERE s <> '' GROUP BY s),
 e AS (
-  SELECT s, f, w, false AS c FROM d WHERE len(w) >= {MIN_WORDS}
-  UNION ALL SELECT s, f, [substr(s, i, 1) FOR i IN range(1, length(s) + 1)], true FROM d WHERE len(w) < {MIN_WORDS} AND length(s) >= {MIN_CHARS}),
+  SELECT s, f, w, false AS c FROM d WHERE len(w) >= {MIN_WORDS} - 1
+  UNION ALL SELECT s, f, [substr(s, i, 1) FOR i IN range(1, length(s) + 1)], true FROM d WHERE len(w) < {MIN_WORDS} AND length(s) >= {MIN_CHARS} - 1),
 pairs AS (
-  SELECT a.s, a.w AS x, b.w AS y FROM e a JOIN e b ON a.c = b.c AND a.w[1] = b.w[1] AND a.w[2] = b.w[2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1
-  UNION ALL SELECT a.s, a.w, b.w FROM e a JOIN e b ON a.c = b.c AND a.w[-1] = b.w[-1] AND a.w[-2] = b.w[-2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1),
+  SELECT a.s, a.c, a.w AS x, b.w AS y FROM e a JOIN e b ON a.c = b.c AND a.w[1] = b.w[1] AND a.w[2] = b.w[2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1
+  UNION ALL SELECT a.s, a.c, a.w, b.w FROM e a JOIN e b ON a.c = b.c AND a.w[-1] = b.w[-1] AND a.w[-2] = b.w[-2] AND b.f < a.f AND abs(len(a.w) - len(b.w)) <= 1),
 near AS (
-  SELECT DISTINCT s FROM pairs WHERE CASE
+  SELECT DISTINCT s FROM pairs WHERE greatest(len(x), len(y)) >= CASE WHEN c THEN {MIN_CHARS} ELSE {MIN_WORDS} END AND CASE
     WHEN len(x) = len(y) THEN len([1 FOR i IN range(1, len(x) + 1) IF x[i] <> y[i]]) <= 1
     WHEN len(x) > len(y) THEN len([1 FOR i IN range(1, len(x) + 1) IF x[1:i - 1] || x[i + 1:] = y]) > 0
     ELSE len([1 FOR i IN range(1, len(y) + 1) IF y[1:i - 1] || y[i + 1:] = x]) > 0 END),

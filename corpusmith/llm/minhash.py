@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.llm.common import in_order, small_batches, staged, table
+from corpusmith.llm.common import in_order, restored, slim, small_batches, staged, table
 from corpusmith.llm.components import components
 
 BANDS, ROWS = 32, 4
@@ -240,7 +240,7 @@ def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each group of near duplicates (five-word shingles, 0.8) stays, that with the smallest id, then hash of the text.
 
     Rows count by id and text, so repeated ids are told apart; null ids come last. Equal rows are a group; rows without words are none and stay."""
-    rows, distinct = in_order(docs, nulls_last=True)
+    rows, distinct = in_order(slim(docs), nulls_last=True)
     found = linked(distinct, 5).where("_doc = component").select("_doc", F.col("n_shingles").alias("_n"))
     kept = rows.join(found, "_doc")
-    return kept.where("_n > 0").dropDuplicates(["_doc"]).unionAll(kept.where("_n = 0")).select(*docs.columns)
+    return restored(kept.where("_n > 0").dropDuplicates(["_doc"]).unionAll(kept.where("_n = 0")), docs)

@@ -233,7 +233,8 @@ def with_scores(docs: DataFrame, scorer: Scorer, text_col: str = "text", column:
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
     docs = docs.drop(column)
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(column, DoubleType())])
+    numbered = _numbered(docs)
+    schema = StructType([*numbered.schema.fields, StructField(column, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
@@ -241,7 +242,12 @@ def with_scores(docs: DataFrame, scorer: Scorer, text_col: str = "text", column:
             scores = [s.score(t) if t else 0.0 for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return numbered.mapInArrow(run, schema).toDF(*docs.columns, column)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns named by their places: Spark takes a name with a dot for a field where it hands all columns to Python."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
 def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataFrame:
@@ -256,7 +262,8 @@ def drop_toxic(docs: DataFrame, scorer: Scorer, threshold: float = 0.5) -> DataF
             keep = pa.array([not t or s.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_())
             yield pa.RecordBatch.from_arrays([pc.filter(c, keep) for c in b.columns], schema=b.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    numbered = _numbered(docs)
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

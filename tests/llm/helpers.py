@@ -11,4 +11,4 @@ def documents(spark, rows, extra=()):
 
 
 #: Names that operators use themselves.
-CLASHES = (("score", "x"), ("node", "x"), ("at", "x"), ("key", "x"), ("n_lines", "x"), ("doc", "x"), ("component_id", "x"), ("item_id", "x"), ("n_removed", "x"), ("n_repeated", "x"), ("outcome", "x"), ("ord", "x"), ("line", "x"))
+CLASHES = (("score", "x"), ("node", "x"), ("at", "x"), ("key", "x"), ("n_lines", "x"), ("doc", "x"), ("component_id", "x"), ("item_id", "x"), ("n_removed", "x"), ("n_repeated", "x"), ("outcome", "x"), ("ord", "x"), ("line", "x"), *((name, "x") for name in ("_doc", "_key", "_gone", "_ls", "_n", "_row", "_name", "_n_lines", "_n_removed", "_i", "_t", "_w", "_b", "_c", "_p0", "_places", "none", "w", "n", "h", "first", "near", "a.b")))

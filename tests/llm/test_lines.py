@@ -15,10 +15,11 @@ def edit(a, b) -> bool:
 
 
 def near(a: list[str], b: list[str]) -> bool:
-    if min(len(a), len(b)) >= lines.MIN_WORDS:
-        return edit(a, b)
+    """One edit, of words if the longer line has eight or more, else of characters if it has twelve or more."""
     x, y = " ".join(a), " ".join(b)
-    return max(len(a), len(b)) < lines.MIN_WORDS and min(len(x), len(y)) >= lines.MIN_CHARS and edit(x, y)
+    if max(len(a), len(b)) >= 8:
+        return edit(a, b)
+    return max(len(x), len(y)) >= 12 and edit(x, y)
 
 
 def brute(rows):
@@ -115,3 +116,27 @@ def test_stage(spark):
     out = lines.line_stage(spark, docs, "")
     assert out.columns == docs.columns
     assert {r.doc_id: r.n_chars for r in out.collect()} == {1: len(t), 3: 4, 4: 0}
+
+
+def test_no_gap_between_units_and_lengths(spark):
+    """Seven words and eight, eleven characters and twelve: the longer line says what the unit is."""
+    seven, eleven = "one two three four five six seven", "hello world"
+    pairs = [(seven, seven + " eight"), (seven + " eight", seven), (eleven, eleven + "s"), (eleven + "s", eleven), (seven, seven + "s"), (seven, seven.replace("four", "for you")), ("hello worl", "hello worlx"), (seven, "one two three four five six 7")]
+    rows = [(i, f"{a}\n{b}".replace("o", f"{'abcdefghij'[i]}o")) for i, (a, b) in enumerate(pairs)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {0: 1, 1: 1, 2: 1, 3: 1, 4: 1, 5: 0, 6: 0 if len(rows[6][1].split("\n")[1]) < 12 else 1, 7: 0}
+    mixed = []
+    for i, (n, m) in enumerate(((6, 7), (7, 7), (7, 8), (8, 8), (8, 9))):
+        for k in range(12):
+            rng = random.Random(100 * i + k)
+            a = [rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n)]
+            b = a[:k % n] + ["x"] * (m - n + 1) + a[k % n + 1 :] if k % 2 else a[: k % n] + ["y"] * (m - n) + a[k % n :]
+            mixed.append((100 * i + k, " ".join(a) + "\n" + " ".join(b)))
+    got = {r.doc_id: r.text for r in lines.dedup_lines(documents(spark, mixed)).collect()}
+    assert got == brute(mixed)
+
+
+def test_query(spark):
+    from tests.oracle import DATA, assert_same, connect
+
+    assert_same(lines.op2_lines(spark, f"{DATA}/sf0.01"), connect("sf0.01"), lines.SQL)
