@@ -64,8 +64,11 @@ NASTY = ["a", "B", " ", "  ", "\n", "\t", ".", ",", "'s", "é", "́", "漢", "
 def test_segments_give_the_tokens_of_the_whole(pair):
     rng = random.Random(3)
     texts = ["".join(rng.choice(NASTY) for _ in range(rng.randint(1, 14))) for _ in range(6000)] + [f"a{chr(c)}b {chr(c)} .{chr(c)}." for c in range(0x3100) if chr(c) != "▁"]
+    words = ["the", "e.g.", "3.14,", "it's", "(so)", "été", "x.", "a,b", "..", "²x", "A1;", "ﬁn!", "_y:", "漢", "?", "🎉."]
+    texts += [rng.choice([" ", "\n"]).join(rng.choice(words) for _ in range(rng.randint(1, 8))) + rng.choice(["", "", " ", "\n"]) for _ in range(4000)]
     for t in filter(None, texts):
-        segments = alignment.CUT.split(" " + t)
+        segments = alignment.segments_of(t)
+        assert "".join(segments) == " " + t and len(segments) <= len(alignment.CUT.split(" " + t))
         a, b = pair.encode(segments)
         assert [i for x in a for i in x] == pair.a.encode(" " + t, add_special_tokens=False).ids, repr(t)
         assert [i for x in b for i in x] == pair.b.encode(t), repr(t)
@@ -76,7 +79,7 @@ def test_against_brute_force(spark, pair):
     rng = random.Random(9)
     rows = [(i, "".join(rng.choice(NASTY) for _ in range(rng.randint(0, 40)))) for i in range(120)]
     rows += [(1000, None), (1001, ""), (1002, "a▁b the"), (1003, "the the the the"), (1004, "x" * 4000), (1005, " "), (1006, "  a  "), (1007, "the"), (1008, "漢字" * 300)]
-    docs = documents(spark, rows, [*CLASHES, ("block", "x"), ("seq", "x"), ("number", "x"), ("segment", "x"), ("n", "x"), ("end", "x"), ("side", "x")])
+    docs = documents(spark, rows, [*CLASHES, ("block", "x"), ("seq", "x"), ("number", "x"), ("segment", "x"), ("end", "x"), ("side", "x")])
     assert rows_of(alignment.align_documents(docs, A, B)) == brute(pair, rows)
 
 
