@@ -107,7 +107,7 @@ def smoothed(num: list[Column], den: list[Column], method: int, hyp: Column, gra
         empty = [(a == 0).cast("int") for a in num]
         return [F.when(a == 0, 1 / (F.pow(F.lit(2.0), sum(empty[1 : i + 1], empty[0])) * b)).otherwise(x) for i, (a, b, x) in enumerate(zip(num, den, p, strict=True))]
     if method in (4, 7):
-        p[:ORDERS] = [F.when((a == 0) & (hyp != 0), (i + 5 / F.log(hyp)) / b).otherwise(x) for i, (a, b, x) in enumerate(zip(num[:ORDERS], den[:ORDERS], p[:ORDERS], strict=True))]
+        p[:ORDERS] = [F.when((a == 0) & (hyp > 1), (i + 5 / F.log(hyp)) / b).otherwise(x) for i, (a, b, x) in enumerate(zip(num[:ORDERS], den[:ORDERS], p[:ORDERS], strict=True))]
     if method == 6:
         for i in range(2, len(p)):
             prior = F.when(p[i - 2] == 0, 0.0).otherwise(p[i - 1] * p[i - 1] / F.when(p[i - 2] != 0, p[i - 2]))

@@ -1,6 +1,6 @@
 import pytest
 
-from corpusmith.plans import files, logs, preparation, programs, rewrites  # noqa: F401
+from corpusmith.plans import files, logs, preparation, programs, rewrites, smoothing  # noqa: F401
 from corpusmith.plans.relational import ORACLES, QUERIES
 from tests.oracle import DATA, assert_same, connect
 
