@@ -142,7 +142,7 @@ def _items(benchmark: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     lost = F.floor(F.size("h") * (den - num) / (den + num) + 1e-9)
     run = F.floor((F.size("h") - lost) / (F.floor(lost / K) + 1))
     w = F.coalesce(*[F.when(run >= x + stride(x) - 1, F.lit(x)) for x in reversed(LADDER)], F.lit(1))
-    return items.withColumn("w", w).coalesce(1).withColumn("_i", F.monotonically_increasing_id())
+    return items.withColumn("w", w).withColumn("_i", F.monotonically_increasing_id())
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
@@ -183,7 +183,7 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, threshold: tuple[int, int] = T
         best = good.groupBy("_doc", "_i", "size").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
         found.append(best.select("_doc", "_i", (-F.col("b.s")).alias("start_word"), (F.col("size") + k - 1).alias("n_words"), F.col("b.similarity")))
     if not found:
-        return rows.sparkSession.createDataFrame([], "_doc bigint, item_id bigint, start_word int, n_words int, similarity double")
+        return rows.sparkSession.createDataFrame([], f"_doc bigint, item_id {dict(benchmark.dtypes)['item_id']}, start_word int, n_words int, similarity double")
     all_found = found[0]
     for f in found[1:]:
         all_found = all_found.unionAll(f)
