@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmith.operators import layout
 from corpusmith.plans.relational import query
-from corpusmith.sources import readers, writers
+from corpusmith.sources import readers, rowfiles, writers
 
 _ONE = "replace(replace(replace(coalesce(text, ''), chr(10), ' '), chr(13), ' '), chr(9), ' ')"
 
@@ -156,3 +156,13 @@ def sink_rates(spark, d):
     path = _folder(spark)
     writers.jsonl(writers.rates(spark.read.parquet(f"{d}/labels.parquet").withColumn("changed", F.col("quality") == 1), "changed"), path)
     return readers.jsonl(spark, path, "tsr double")
+
+
+@query("SELECT s_nationkey::VARCHAR AS label, s_suppkey::VARCHAR AS id, md5(s_name || chr(10) || s_suppkey::VARCHAR) AS text_md5 FROM supplier")
+def sink_row_files_indexed(spark, d):
+    """A file a row by a committed job, read again by its index."""
+    path = _folder(spark)
+    rowfiles.register(spark)
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_nationkey", "s_suppkey", F.concat_ws("\n", "s_name", F.col("s_suppkey").cast("string")).alias("code")).repartition(4, "s_suppkey")
+    s.write.format(rowfiles.NAME).option("label", "s_nationkey").option("id", "s_suppkey").option("text", "code").mode("append").save(path)
+    return spark.read.format(rowfiles.NAME).load(path).select("label", "id", F.md5("text").alias("text_md5"))
