@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusmith.functions import rules as R
-from corpusmith.operators import collation, layout
-from corpusmith.plans.relational import PREDS, documents, predictions, query, table
+from corpusmith.functions import text as X
+from corpusmith.operators import collation, layout, splits
+from corpusmith.plans.relational import PREDS, TOK, documents, predictions, query, table
 from corpusmith.sources import readers
 from corpusmith.streaming import audits
 
@@ -128,3 +129,22 @@ def task_refine_limited(spark, d):
     docs.select(F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("value")).write.text(f"{path}/fixed")
     e = readers.examples(spark, "refine", [f"{path}/buggy", f"{path}/fixed"], limit=100)
     return e.select((F.col("idx") + first).alias("idx"), "source", "target")
+
+
+@query(f"""SELECT role, count(*) AS n, round(avg(len(t)), 6) AS mean_tokens, round(avg(length(text)), 4) AS mean_chars FROM (SELECT role, text, {TOK.format("text")} AS t FROM conversations)
+WHERE len(t) BETWEEN 5 AND 12 AND NOT contains(text, 'img') AND NOT contains(text, 'http') GROUP BY role""")
+def docstring_token_mean(spark, d):
+    """Mean tokens of the docstrings that the filter keeps."""
+    c = table(spark, d, "conversations").withColumn("t", X.tokens(F.col("text")))
+    kept = splits.docstring_filter(c, "t", "text")
+    return kept.groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(F.size("t")), 6).alias("mean_tokens"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
+
+
+@query(r"""WITH i AS (SELECT lang, unnest(regexp_extract_all(text, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS x FROM documents),
+s AS (SELECT lang, unnest(regexp_extract_all(regexp_replace(x, '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|[0-9]+')) AS part FROM i)
+SELECT lang, lower(part[1:1]) AS initial, count(*) AS n, count(DISTINCT part) AS parts, max(length(part)) AS longest FROM s GROUP BY 1, 2""")
+def subtoken_counts(spark, d):
+    """Identifiers' parts by their first letter."""
+    i = documents(spark, d, "lang").select("lang", F.explode(X.identifiers(F.col("text"))).alias("x"))
+    s = i.select("lang", F.explode(X.subtokens(F.col("x"))).alias("part"))
+    return s.groupBy("lang", F.lower(F.left("part", F.lit(1))).alias("initial")).agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.max(F.length("part")).alias("longest"))
