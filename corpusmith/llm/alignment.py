@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusmith.llm.bpe import ship
-from corpusmith.llm.common import arrow_batches, settings, staged, table, text_or_empty
+from corpusmith.llm.common import arrow_batches, settings, shuffle_partitions, staged, table, text_or_empty
 
 CUT = re.compile(r"(?<=\S)(?=[ \n])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
 #: White space other than single spaces and line breaks: such texts are cut by CUT, all others by the faster SEGMENTS, at the same places or fewer.
@@ -41,6 +41,8 @@ SEGMENTS = re.compile(r"[ \n][A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\s.,;:!?])|[ \n][^ \n
 SPACE_MARK = "▁"
 #: Bytes of text after which a block of documents is closed, and bytes of input that a task takes.
 BLOCK, TASK_INPUT = 48 << 20, 24 << 20
+#: Segments that a task aligns, of some ten tokens each.
+ALIGNED = 30_000
 #: Distinct pairs of ids that are sent to all executors; more are joined by a shuffle.
 SENT_PAIRS = 1 << 20
 OUT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
@@ -181,11 +183,11 @@ def encoded(segments: DataFrame, name_a: str, name_b: str) -> DataFrame:
     return segments.mapInArrow(run, f"{rest}, tokens array<struct<side:int,id:int,bytes:int>>")
 
 
-def align(texts: DataFrame, key: str = "doc") -> DataFrame:
+def align(texts: DataFrame, key: str = "doc", tasks: int | None = None) -> DataFrame:
     """Per row of texts (key, unique; tokens: array of (side, id, bytes), each side in order): key, n_a, n_groups, groups ('a1,a2|b1;a3|b2'), links (array of (a, b)).
 
-    All steps go by the key, so the tokens are shuffled once, before they are exploded; rows without tokens don't come back."""
-    spread = texts.select(key, "tokens").repartition(key)
+    All steps go by the key, so the tokens are shuffled once, before they are exploded, to `tasks` partitions; rows without tokens don't come back."""
+    spread = texts.select(key, "tokens").repartition(*([tasks] if tasks else []), key)
     said = spread.select(key, F.posexplode("tokens").alias("pos", "t")).select(key, "pos", "t.side", "t.id", "t.bytes")
     ends = said.select(key, "side", "id", F.sum("bytes").over(Window.partitionBy(key, "side").orderBy("pos")).alias("end"))
     cuts = ends.filter("side = 0").select(key, "end").join(ends.filter("side = 1").select(key, "end"), [key, "end"]).withColumn("cut", F.lit(1))
@@ -254,7 +256,8 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         segments = staged(encoded(distinct, name_a, name_b).withColumn("doc", F.monotonically_increasing_id()), "segments", "zstd")
     # Ends are joined where the tokens of a text lie already.
     with settings(spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
-        aligned = staged(align(segments).join(segments.select("doc", "n"), "doc"), "aligned", "zstd")
+        tasks = max(shuffle_partitions(spark), -(-segments.count() // ALIGNED))
+        aligned = staged(align(segments, tasks=tasks).join(segments.select("doc", "n"), "doc"), "aligned", "zstd")
     links = aligned.select("doc", "n", F.explode("links").alias("l")).select("doc", "n", "l.a", "l.b")
     counts = staged(pair_counts(links.select("a", "b", "n")), "pairs")
     sent = F.broadcast(counts) if counts.count() <= SENT_PAIRS else counts
