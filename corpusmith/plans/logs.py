@@ -31,17 +31,18 @@ def experiment_grid(spark, d):
     return collation.grid({"style_a": style, "style_b": style, "lang": langs.select("lang")}, done, F.col("style_a") != F.col("style_b"))
 
 
-_TRIES = "SELECT event_type AS task, user_id % 3 AS model, event_id % 4 AS style, user_id % 5 AS try, value AS score FROM events"
+_TRIES = "SELECT event_type AS task, user_id % 3 AS model, event_id % 4 AS style, user_id % 5 AS try, round(value * 100)::BIGINT AS score FROM events"
 
 
-@query(f"""SELECT task, model, style, (grouping(task) = 0)::INT + (grouping(model) = 0)::INT + (grouping(style) = 0)::INT AS level, count(score) AS n, round(avg(score), 6) AS mean, round(stddev_samp(score), 5) AS sd, min(score) AS low, max(score) AS high
-FROM ({_TRIES}) GROUP BY GROUPING SETS ((task, model, style), (task, model), (task, style), (style), ())""")
+@query(f"""WITH g AS (SELECT task, model, style, (grouping(task) = 0)::INT + (grouping(model) = 0)::INT + (grouping(style) = 0)::INT AS level, count(score) AS n, sum(score)::DOUBLE AS s1, sum(score * score)::DOUBLE AS s2, min(score)::DOUBLE AS low, max(score)::DOUBLE AS high
+  FROM ({_TRIES}) GROUP BY GROUPING SETS ((task, model, style), (task, model), (task, style), (style), ()))
+SELECT task, model, style, level, n, s1 / n AS mean, CASE WHEN n > 1 THEN sqrt(greatest(0, s2 - s1 * s1 / n) / (n - 1)) END AS sd, low, high FROM g""")
 def collated_results(spark, d):
-    """Scores over tries, by task, model and style and at coarser levels, from one table of moments."""
-    e = table(spark, d, "events").select(F.col("event_type").alias("task"), (F.col("user_id") % 3).alias("model"), (F.col("event_id") % 4).alias("style"), (F.col("user_id") % 5).alias("try"), F.col("value").alias("score"))
+    """Scores (whole numbers, so that sums are exact) over tries, by task, model and style and at coarser levels, from one table of moments."""
+    score = F.round(F.col("value") * 100).cast("long").alias("score")
+    e = table(spark, d, "events").select(F.col("event_type").alias("task"), (F.col("user_id") % 3).alias("model"), (F.col("event_id") % 4).alias("style"), (F.col("user_id") % 5).alias("try"), score)
     kept = collation.moments(e, "score", ("task", "model", "style", "try"))
-    out = collation.levels(kept, [("task", "model", "style"), ("task", "model"), ("task", "style"), ("style",), ()])
-    return out.withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 5))
+    return collation.levels(kept, [("task", "model", "style"), ("task", "model"), ("task", "style"), ("style",), ()])
 
 
 @query("""WITH r AS (SELECT user_id % 6 AS k, event_id, value, event_type FROM events WHERE event_id % 10 = 0),
