@@ -39,8 +39,8 @@ ODD = re.compile(r"[^\S \n]|[ \n][ \n]")
 SEGMENTS = re.compile(r"[ \n][A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\s.,;:!?])|[ \n][^ \n]*|[.,;:!?][^ \n]*")
 #: A text that holds this isn't what tokenizer B's pieces say.
 SPACE_MARK = "▁"
-#: Bytes of text after which a block of documents is closed, and bytes of input that a task takes.
-BLOCK, TASK_INPUT = 48 << 20, 24 << 20
+#: Characters of text after which a block of documents is closed (a row counts as so many besides its text), and bytes of input that a task takes.
+BLOCK, ROW, TASK_INPUT = 48 << 20, 64, 24 << 20
 #: Segments that a task aligns, of some ten tokens each.
 ALIGNED = 30_000
 #: Distinct pairs of ids that are sent to all executors; more are joined by a shuffle.
@@ -134,10 +134,10 @@ def in_blocks(docs: DataFrame) -> DataFrame:
         for b in batches:
             ids_of, packed = b.column(0).type, []
             for text in b.column(1).to_pylist():
+                room -= len(text) + ROW
                 if not text or SPACE_MARK in text:
                     packed.append(b"")
                     continue
-                room -= len(text)
                 segments = segments_of(text)
                 for s in set(segments).difference(number):
                     number[s] = len(number)
